@@ -67,7 +67,7 @@ class Words:
 
     def __init__(self, buf: np.ndarray, starts: np.ndarray, gaps: np.ndarray):
         inside = ~gaps[buf]
-        edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
+        edge = np.diff(np.concatenate((np.zeros(1, np.int8), inside.view(np.int8), np.zeros(1, np.int8))))
         self.start = np.flatnonzero(edge == 1)
         self.end = np.flatnonzero(edge == -1)
         self.n_docs = len(starts) - 1
