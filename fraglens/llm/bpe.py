@@ -34,9 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .blocks import lean
 
 SLICE_BYTES = 2 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
+#: Up to this many bytes, a word is merged in a plain list.
+SHORT = 48
+NEVER = 1 << 30
 #: Fixed value: the public pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -70,10 +74,14 @@ class Codec:
         self.rank = np.full(n, -1)
         self.left, self.right = np.arange(n), np.arange(n)
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank_of: dict[int, int] = {}
+        self.made_by: list[int] = []
         for r, m in enumerate(model["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             ia, ib, ic = (model["vocab"][x] for x in (a, b, a + b))
             self.merges[ia, ib] = (r, ic)
+            self.rank_of[ia << 20 | ib] = r
+            self.made_by.append(ic)
             if self.rank[ic] < 0:
                 self.rank[ic], self.left[ic], self.right[ic] = r, ia, ib
         order = sorted(self.merges)
@@ -83,11 +91,14 @@ class Codec:
         self.proposed = {b: i for b, i in self.vocab.items() if len(b) == 1 or self.merged(b) == [i]}
         self.longest: dict[bytes, int] = {}
         for b in self.proposed:
-            self.longest[b[:2]] = max(self.longest.get(b[:2], 1), len(b))
+            if len(b) <= 2:
+                self.longest[b] = len(b)
+        for b in self.proposed:
+            if len(b) > 2:
+                self.longest[b[:3]] = max(self.longest.get(b[:3], 1), len(b))
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else lambda t: [t]
         self.stable: dict[int, bool] = {}
-        self.counts: dict[str, int] = {}
         self.ids: dict[str, str] = {}
         self.decoded: dict[str, bytes] = {}
 
@@ -95,6 +106,8 @@ class Codec:
         """The exact encoding: the lowest rank first, from the left."""
         ids: list[int] = [self.single[b] for b in word]
         n = len(ids)
+        if n <= SHORT:
+            return self._merged_short(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(*m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
         heap = [(r, i, c, a, b) for r, c, i, a, b in heap]
@@ -114,11 +127,28 @@ class Codec:
                 heapq.heappush(heap, (m[0], h, m[1], ids[h], c))
         return [x for x in ids if x >= 0]
 
+    def _merged_short(self, ids: list[int]) -> list[int]:
+        """The same over a list of the neighbours' ranks."""
+        rank, made = self.rank_of.get, self.made_by
+        ranks = [rank(a << 20 | b, NEVER) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            r = min(ranks)
+            if r == NEVER:
+                break
+            i = ranks.index(r)
+            ids[i : i + 2] = [made[r]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 20 | ids[i], NEVER)
+            if i < len(ranks):
+                ranks[i] = rank(ids[i] << 20 | ids[i + 1], NEVER)
+        return ids
+
     def greedy(self, word: bytes) -> list[int]:
         out, i, n = [], 0, len(word)
         proposed, longest = self.proposed, self.longest
         while i < n:
-            k = min(longest.get(word[i : i + 2], 1), n - i)
+            k = longest.get(word[i : i + 3]) or longest.get(word[i : i + 2], 1)
             while (t := proposed.get(word[i : i + k])) is None:
                 k -= 1
             out.append(t)
@@ -166,7 +196,6 @@ class Codec:
         for k in failing:
             made[k] = self.merged(raw[k])
         for w, x in zip(words, made, strict=True):
-            self.counts[w] = len(x)
             self.ids[w] = ",".join(map(str, x))
             self.decoded[w] = b"".join([self.bytes[i] for i in x])
         return len(made), len(failing)
@@ -178,13 +207,13 @@ class Codec:
 
     def prepare(self, texts: list[list[str]]) -> None:
         words = set().union(*texts) if texts else set()
-        if len(self.counts) + len(words) > CACHE_WORDS:
-            for cache in (self.counts, self.ids, self.decoded, self.stable):
+        if len(self.ids) + len(words) > CACHE_WORDS:
+            for cache in (self.ids, self.decoded, self.stable):
                 cache.clear()
-        if not self.counts:
+        if not self.ids:
             for a, i in self.added.items():
-                self.counts[a], self.ids[a], self.decoded[a] = 1, str(i), self.bytes[i]
-        new = words.difference(self.counts)
+                self.ids[a], self.decoded[a] = str(i), self.bytes[i]
+        new = words.difference(self.ids)
         if new:
             self.learn(new)
 
@@ -204,15 +233,17 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     with open(path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         for batch in batches:
             for part in T.slices(batch, "text", SLICE_BYTES):
                 texts = [c.pretokens(t) if t else [] for t in part.column("text").to_pylist()]
                 c.prepare(texts)
-                n, ids, decoded = c.counts.__getitem__, c.ids.__getitem__, c.decoded.__getitem__
+                ids, decoded = c.ids.__getitem__, c.decoded.__getitem__
+                joined = [",".join(map(ids, t)) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([sum(map(n, t)) for t in texts], pa.int64()), pa.array([",".join(map(ids, t)) for t in texts], pa.string()), pa.array([b"".join(map(decoded, t)).decode("utf-8", "replace") for t in texts], pa.string())],
+                    [part.column("doc_id"), pa.array([x.count(",") + 1 if x else 0 for x in joined], pa.int64()), pa.array(joined, pa.string()), pa.array([b"".join(map(decoded, t)).decode("utf-8", "replace") for t in texts], pa.string())],
                     names=["doc_id", "n_tokens", "ids", "decoded"],
                 )
 

@@ -32,10 +32,17 @@ def brute_components(fps):
 
 
 def test_codewords():
-    near = S.near_codewords()
-    assert (near[:, 0] >= 0).all()
-    n = (near >= 0).sum(1)
-    assert set(n.tolist()) == {1, 6}
+    x = np.arange(1 << 23, dtype=np.uint32)[:: 37]
+    near = S.near_codewords(x)
+    assert set((near >= 0).sum(1).tolist()) == {1, 6}
+    code = np.flatnonzero(S._remainder(np.arange(1 << 23, dtype=np.uint32)) == 0).astype(np.uint32)
+    assert len(code) == 4096
+    assert len(set((code >> 11).tolist())) == 4096
+    by = {int(c) >> 11: int(c) for c in code}
+    for w, row in zip(x[::5000].tolist(), near[::5000].tolist()):
+        want = {n for n, c in by.items() if bin(c ^ w).count("1") <= 4}
+        assert want == {n for n in row if n >= 0}
+        assert bin(by[row[0]] ^ w).count("1") <= 3
 
 
 def test_keys_meet_for_all_error_patterns():
