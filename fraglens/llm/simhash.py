@@ -43,6 +43,7 @@ from .components import connected_components
 
 RADIUS = 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
+SLICE_BYTES = 2 << 20
 #: Buckets up to this size compare all with all.
 SMALL = 4096
 GENERATOR = 0b101011100011  # of the cyclic Golay code
@@ -89,9 +90,10 @@ def fingerprints(raw: np.ndarray, off: np.ndarray, shingle: int = 4, seed: int =
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(doc_id, fp)"""
 
+    @B.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch, "text", B.BLOCK_BYTES):
+            for part in T.slices(batch, "text", SLICE_BYTES):
                 raw, off, _ = T.buffers(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(raw, off, shingle).view(np.int64))], names=["doc_id", "fp"])
 
@@ -101,27 +103,39 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 # -- Golay code -------------------------------------------------------------
 
 
+def _remainder(x: np.ndarray) -> np.ndarray:
+    """x modulo the generator polynomial over GF(2): zero for codewords."""
+    x = x.copy()
+    for bit in range(22, 10, -1):
+        x ^= np.where(x >> np.uint32(bit) & np.uint32(1), np.uint32(GENERATOR << (bit - 11)), np.uint32(0))
+    return x
+
+
 @lru_cache(1)
-def near_codewords() -> np.ndarray:
-    """For each word of 22 bits (of 23, with a zero in front), the message numbers of the codewords within distance 4: the nearest first, -1 for none."""
-    messages = np.arange(4096, dtype=np.uint32)
-    code = np.zeros(4096, np.uint32)
-    for i in range(12):
-        code ^= np.where(messages >> i & 1, np.uint32(GENERATOR << i), np.uint32(0))
-    flips = [[], [], [], [], []]
-    for w in range(5):
-        flips[w] = _masks(23, w)
-    near = np.full((1 << 22, 6), -1, np.int16)
-    filled = np.ones(1 << 22, np.int8)
-    for w in range(5):
-        for f in flips[w].tolist():
-            at = code ^ np.uint32(f)
-            held = at < 1 << 22
-            at = at[held]
-            near[at, filled[at] if w == 4 else 0] = messages[held]
-            if w == 4:
-                filled[at] += 1
-    return near
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """By remainder: the error of least weight, and what to add to a word for each of its near codewords (-1: none)."""
+    error = np.zeros(2048, np.uint32)
+    for w in range(4):
+        flips = _masks(23, w).astype(np.uint32)
+        error[_remainder(flips)] = flips
+    add = np.full((2048, 6), -1, np.int32)
+    add[:, 0] = error
+    filled = np.ones(2048, np.int8)
+    for f in _masks(23, 4).astype(np.uint32).tolist():
+        r = int(_remainder(np.array([f], np.uint32))[0])
+        add[r, filled[r]] = f
+        filled[r] += 1
+    return error, add
+
+
+def near_codewords(x: np.ndarray) -> np.ndarray:
+    """For each 23-bit word, the numbers of the codewords within distance 4: the nearest first, -1 for none.
+
+    Any 12 neighbouring bits of a cyclic code's word tell it from all others; the upper ones are its number.
+    """
+    x = x.astype(np.uint32)
+    add = _tables()[1][_remainder(x)]
+    return np.where(add < 0, -1, (x[:, None] ^ add.astype(np.uint32)).astype(np.int32) >> 11).astype(np.int16)
 
 
 def _masks(bits: int, weight: int) -> np.ndarray:
@@ -136,9 +150,8 @@ def _masks(bits: int, weight: int) -> np.ndarray:
 
 def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, index into fp, role) of the fingerprints: role 0 stored, 1 probing, 2 both."""
-    table = near_codewords()
     seg = [(fp >> np.uint64(at)) & np.uint64((1 << n) - 1) for at, n in SEGMENTS]
-    near = [table[s.astype(np.int64)] for s in seg]
+    near = [near_codewords(s) for s in seg]
     row = np.arange(len(fp))
     out: list[tuple[np.ndarray, np.ndarray, int]] = []
     tag = 0
@@ -244,6 +257,7 @@ def _bucket_rows(key: np.ndarray, fp: np.ndarray, role: np.ndarray) -> tuple[np.
 def near_links(fps: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints that join all within RADIUS bits into the same components."""
 
+    @B.lean
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.asarray(batch.column("fp")).view(np.uint64)
@@ -252,6 +266,7 @@ def near_links(fps: DataFrame) -> DataFrame:
                 key, row, role = keys(part)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part[row].view(np.int64)), pa.array(role)], names=["key", "fp", "role"])
 
+    @B.lean
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(np.asarray(b.column("key")).view(np.uint64), np.asarray(b.column("fp")).view(np.uint64), np.asarray(b.column("role"))) for b in batches if b.num_rows]
         if got:
@@ -260,8 +275,8 @@ def near_links(fps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0].view(np.int64)), pa.array(pairs[1].view(np.int64))], names=["a", "b"])
 
     n = fps.count()
-    # About 150 keys of 17 bytes for each fingerprint, 2 million in a task.
-    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * 150 // 2_000_000 + 1)
+    # About 150 keys of 17 bytes for each fingerprint, 1 million in a task.
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * 150 // 1_000_000 + 1)
     spread = fps.repartition(max(1, min(parts, n // 1000 + 1)))
     return spread.mapInArrow(expand, "key bigint, fp bigint, role tinyint").repartition(parts, "key").mapInArrow(verify, "a bigint, b bigint")
 
