@@ -42,10 +42,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of 13 or more words that an earlier document has."""
-    cleaned = substring_dedup.substring_dedup(docs).filter("n_removed > 0").select("doc_id", F.col("text").alias("cleaned"))
-    rows = docs.join(cleaned, "doc_id", "left")
-    text = F.coalesce("cleaned", "text")
-    return rows.withColumn("n_chars", F.when(F.col("cleaned").isNull(), F.col("n_chars")).otherwise(F.char_length("cleaned").cast("long"))).withColumn("text", text).select(*COLUMNS)
+    cleaned = substring_dedup.substring_dedup(docs, carry=("lang", "source", "n_chars"))
+    n = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", n).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ bucket gets hot, and the text is shuffled only as compressed blocks.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -20,12 +22,14 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import text as T
 
-BLOCK_SCHEMA = "block_id long, ids array<bigint>, lengths binary, payload binary, n_bytes long"
+BLOCK_SCHEMA = "block_id long, ids array<bigint>, lengths binary, payload binary, carried binary, n_bytes long"
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -41,6 +45,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def lean(run: Callable) -> Callable:
+    """The same function of batches, which afterwards gives freed memory back: workers live on for later stages."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return trimmed
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # -- packing of arrays ------------------------------------------------------
 
 
@@ -88,6 +108,7 @@ class Block:
         off = np.concatenate(([0], np.cumsum(np.maximum(lengths, 0))))
         raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["payload"], max_output_size=max(1, int(off[-1]))), np.uint8)
         self.buf, self.starts = T.separated(raw, off, gap, fill)
+        self.carried = pa.ipc.open_stream(row["carried"]).read_all() if row.get("carried") else None
         self.id_nulls = np.array([x is None for x in self.ids], bool)
         self.id = np.array([0 if x is None else x for x in self.ids], np.int64)
 
@@ -95,12 +116,17 @@ class Block:
         return len(self.ids)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Blocks of whole documents, kept in the checkpoint folder, so that a block means the same rows in all later passes."""
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Blocks of whole documents, kept in the checkpoint folder, so that a block means the same rows in all later passes.
+
+    Other columns, named in ``carry``, travel along.
+    """
+    other = [f"c{i}" for i in range(len(carry))]
 
+    @lean
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seq = TaskContext.get().partitionId() << 32, 0
-        held: list[tuple[pa.Array, np.ndarray, bytes]] = []
+        held: list[tuple[pa.Array, np.ndarray, bytes, pa.RecordBatch]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
@@ -108,9 +134,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             ids = pa.concat_arrays([h[0] for h in held]).to_pylist()
             lengths = np.concatenate([h[1] for h in held]).astype(np.int64)
             payload = zstandard.ZstdCompressor(level=3).compress(b"".join(h[2] for h in held))
+            carried = b""
+            if other:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, held[0][3].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    for h in held:
+                        out.write_batch(h[3])
+                carried = sink.getvalue().to_pybytes()
             row = pa.RecordBatch.from_arrays(
-                [pa.array([base + seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths.tobytes()], pa.binary()), pa.array([payload], pa.binary()), pa.array([int(np.maximum(lengths, 0).sum())], pa.int64())],
-                names=["block_id", "ids", "lengths", "payload", "n_bytes"],
+                [pa.array([base + seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths.tobytes()], pa.binary()), pa.array([payload], pa.binary()), pa.array([carried], pa.binary()), pa.array([int(np.maximum(lengths, 0).sum())], pa.int64())],
+                names=["block_id", "ids", "lengths", "payload", "carried", "n_bytes"],
             )
             held, size, seq = [], 0, seq + 1
             return row
@@ -120,12 +153,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 raw, off, nulls = T.buffers(part.column("text"))
                 if held and size + len(raw) > BLOCK_BYTES:
                     yield flush()
-                held.append((part.column("id"), np.where(nulls, -1, np.diff(off)), raw.tobytes()))
+                held.append((part.column("id"), np.where(nulls, -1, np.diff(off)), raw.tobytes(), part.select(other)))
                 size += len(raw)
         if held:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(k) for c, k in zip(carry, other, strict=True)])
     return cut(rows.mapInArrow(packed, BLOCK_SCHEMA))
 
 
@@ -149,6 +182,7 @@ def split_sorted(keys: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
 def from_blocks(blocks: DataFrame, make: Callable[[Block], Iterator[dict]], schema: str, **options) -> DataFrame:
     """Rows that ``make`` yields for each block."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -181,18 +215,22 @@ def by_bucket(requests: DataFrame, answer: Callable[[dict[str, list]], Iterator[
     want = arrow_schema(schema)
 
     def run(table: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(list(answer(table.to_pydict())), want)
+        out = pa.Table.from_pylist(list(answer(table.to_pydict())), want)
+        release()
+        return out
 
     return requests.groupBy(*keys).applyInArrow(run, schema)
 
 
-def with_answers(blocks: DataFrame, answers: DataFrame, make: Callable[[Block, list[dict]], pa.Table], schema: str, **options) -> DataFrame:
+def with_answers(blocks: DataFrame, answers: DataFrame, make: Callable[[Block, list[dict]], pa.Table], schema: str | T_.StructType, **options) -> DataFrame:
     """``make`` gets each block with the answers to it, and returns a table."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = left.to_pylist()
         if not rows:
-            return arrow_schema(schema).empty_table()
-        return make(Block(rows[0], **options), right.to_pylist())
+            return (arrow_schema(schema) if isinstance(schema, str) else to_arrow_schema(schema)).empty_table()
+        out = make(Block(rows[0], **options), right.to_pylist())
+        release()
+        return out
 
     return blocks.groupBy("block_id").cogroup(answers.groupBy("block_id")).applyInArrow(run, schema)

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .blocks import lean
 
 SHARD_BYTES = 4 << 20
 
@@ -185,6 +186,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         ]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "text", SHARD_BYTES):

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .blocks import lean
 from .url_filter import host_and_path
 
 SLICE_BYTES = 4 << 20
@@ -302,6 +303,7 @@ def away_keys(path: str) -> list[str]:
 def page_facts(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(host, structure, n) and (host, path, pages, chars, linked, low, high, n) of all pages (host, html)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "html", SLICE_BYTES):
@@ -370,6 +372,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host)
     wrappers = infer_wrappers(rows)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, frozenset] = {}
         for batch in batches:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import samples
 from . import text as T
+from .blocks import lean
 
 SEGMENT = 64
 HIDDEN = 12
@@ -34,7 +35,7 @@ STEPS = 300
 BATCH = 128
 #: Segments of the sample that training may draw from, of each language.
 SEGMENTS = 6000
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 ASCII_LETTERS = T.byte_set((0x41, 0x5A), (0x61, 0x7A))
 
 
@@ -161,7 +162,7 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 7) -> tup
     return langs, p
 
 
-def document_probabilities(p: dict[str, np.ndarray], raw: np.ndarray, off: np.ndarray, step: int = 4096) -> np.ndarray:
+def document_probabilities(p: dict[str, np.ndarray], raw: np.ndarray, off: np.ndarray, step: int = 2048) -> np.ndarray:
     x, used, doc = segments(raw, off)
     sums = np.zeros((len(off) - 1, len(p["c"])))
     for at in range(0, x.shape[1], step):
@@ -189,6 +190,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     inner = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *carry)
     out = inner.drop("_text").schema.add("_lang", "string").add("_score", "double")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, p = shared.value
         for batch in batches:

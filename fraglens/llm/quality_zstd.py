@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import samples
 from . import text as T
+from .blocks import lean
 
 SAMPLE = 1500
 PIECE = 256
@@ -105,6 +106,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     found.sort(key=lambda r: (r["y"], r["id"]))
     shared = spark.sparkContext.broadcast(fit([(r["y"], r.text) for r in found], counts))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         margin = None if isinstance(model, float) else Margin(model[0], model[1])

@@ -28,6 +28,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import blocks as B
 from . import text as T
@@ -136,13 +138,13 @@ def _earlier(got: dict[str, list]):
         at += n
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, layout: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, spans, text): the document without its repeats.
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, layout: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, spans, text) and the columns ``carry``: the document without its repeats.
 
     ``spans`` has the removed word spans as pairs first, end (exclusive). With ``layout`` the text keeps its own white
     space and unchanged texts are returned as they are, null included; without it, kept words are joined by one space.
     """
-    blocks = B.pack(docs, id_col, text_col)
+    blocks = B.pack(docs, id_col, text_col, carry)
     n = B.n_buckets(blocks)
     probes = B.from_blocks(blocks, lambda b: _requests(b, window, n), "bucket int, block_id long, n int, keys binary, flags binary, ids binary")
     anchors = B.cut(B.by_bucket(probes, _shared, _ANSWERS))
@@ -154,7 +156,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     windows = B.with_answers(blocks, anchors, extend, _WINDOWS)
     answers = anchors.unionByName(B.by_bucket(windows, _earlier, _ANSWERS))
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, spans array<bigint>, text string"
+    schema = StructType.fromDDL("doc_id bigint, n_words bigint, n_removed bigint, spans array<bigint>, text string")
+    for i, c in enumerate(carry):
+        schema.add(f"c{i}", docs.schema[c].dataType)
 
     def cut_out(block: B.Block, answers: list[dict]) -> pa.Table:
         w, at, distinct, number, least = _candidates(block, answers, window, n)
@@ -199,6 +203,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not layout:
             chars = np.where(T.WHITE[chars], T.SPACE, chars).astype(np.uint8)
         texts = T.to_strings(chars, count[block.starts], nulls).cast(pa.string())
-        return pa.Table.from_arrays([pa.array(block.ids, pa.int64()), pa.array(w.count, pa.int64()), pa.array(counts, pa.int64()), spans, texts], names=["doc_id", "n_words", "n_removed", "spans", "text"])
+        own = [pa.array(block.ids, pa.int64()), pa.array(w.count, pa.int64()), pa.array(counts, pa.int64()), spans, texts]
+        return pa.Table.from_arrays([*own, *(block.carried.columns if carry else ())], names=schema.names)
 
-    return B.with_answers(blocks, answers, cut_out, schema)
+    got = B.with_answers(blocks, answers, cut_out, schema)
+    return got.select(*schema.names[:5], *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
