@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("basics",)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
