@@ -36,12 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .blocks import lean
+from .blocks import cut, lean
 from .url_filter import host_and_path
 
 SLICE_BYTES = 4 << 20
 #: First-step groups of a host; each merges the structures that hash there.
 GROUPS = 32
+BROADCAST_BYTES = 8 << 20
+SALTS = 256
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -366,11 +368,20 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     return union.groupBy("host").applyInArrow(second, "host string, wrapper string, article string")
 
 
+def with_wrapper(rows: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """Each page with its host's wrapper: broadcast if all wrappers are few bytes, else joined on host and salt, so that a hot host's pages are dealt out."""
+    size = wrappers.agg(F.sum(F.length("wrapper") + F.length("article") + F.length("host"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(wrappers), "host", "left")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(SALTS)).cast("int"))
+    return salted.join(wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left").drop("salt")
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, wrapper)"""
     host, _ = host_and_path("url")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host)
-    wrappers = infer_wrappers(rows)
+    wrappers = cut(infer_wrappers(rows))
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,4 +401,4 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                     texts.append("\n\n".join(t for p, t, _ in blocks_of(page) if p in slots))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), part.column("wrapper")], names=["page_id", "url", "text", "wrapper"])
 
-    return rows.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper", "article").mapInArrow(run, "page_id bigint, url string, text string, wrapper string")
+    return with_wrapper(rows, wrappers).select("page_id", "url", "html", "wrapper", "article").mapInArrow(run, "page_id bigint, url string, text string, wrapper string")

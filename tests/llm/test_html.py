@@ -21,7 +21,9 @@ def test_blocks_fold_and_alignment():
     assert "(<li> # </li>)+" in mixed
 
 
-def test_extraction(spark):
+@pytest.mark.parametrize("most", [8 << 20, 0])
+def test_extraction(spark, monkeypatch, most):
+    monkeypatch.setattr(H, "BROADCAST_BYTES", most)
     rows = [(k, f"http://h{k % 2}.example/{k}", page(k, 1 + k % 4)) for k in range(12)]
     rows += [(50, None, "plain &lt;text&gt;\n here"), (51, "http://h1.example/z", None), (52, "http://h0.example/", ""), (None, "http://h0.example/", page(3, 2)), (53, "http://only.example", "<div class=menu>m</div><div><div><p>long enough text one</p><p>two <i>in</i>line</p></div></div>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
