@@ -213,9 +213,9 @@ def group_summary(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_pop(x), 4).alias("std"), F.round(F.percentile(x, F.lit(0.5)), 4).alias("median"))
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (value > 50) AS high, count(*) FILTER (user_id % 2 = 0 AND value <= 50) AS even_low FROM events")
+@query("SELECT count(*) AS total, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (value > 50) AS high, count(*) FILTER (event_type <> 'click' AND value <= 50) AS other_low FROM events")
 def counters(spark, d):
-    return R.counters(table(spark, d, "events"), {"total": F.lit(True), "clicks": F.col("event_type") == "click", "high": F.col("value") > 50, "even_low": (F.col("user_id") % 2 == 0) & (F.col("value") <= 50)})
+    return R.counters(table(spark, d, "events"), {"total": F.lit(True), "clicks": F.col("event_type") == "click", "high": F.col("value") > 50, "other_low": (F.col("event_type") != "click") & (F.col("value") <= 50)})
 
 
 @query("SELECT user_id, ts, event_type, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS new FROM events)")
