@@ -76,3 +76,35 @@ def test_nothing_to_learn(spark, rows):
     got = ppm.ppm_scores(spark.createDataFrame(rows, "doc_id long, text string"), modulus=1, rest=0).collect()
     assert len(got) == len(rows)
     assert all(math.isfinite(r.score) and r.train_tokens == 0 for r in got)
+
+
+def test_scores_of_all_contexts(spark):
+    """More than 64 symbols, contexts seen once: every score is the escapes' by definition over all 256 symbols."""
+    rnd = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 .,éßжщ語字🙂"
+    rows = [(d, "".join(rnd.choice(letters[:6] if rnd.random() < 0.6 else letters) for _ in range(rnd.randint(0, 60)))) for d in range(40)]
+    got = {r.doc_id: r for r in ppm.ppm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    counts = [{} for _ in range(5)]
+    for d, t in rows:
+        s = [255] * 4 + [*t.encode(), 255]
+        for i in range(4, len(s)) if not got[d].held_out else ():
+            for k in range(5):
+                here = counts[k].setdefault(tuple(s[i - k : i]), Counter())
+                here[s[i]] += 1
+
+    def log_p(context, symbol):
+        p, excluded = 1.0, set()
+        for k in range(4, -1, -1):
+            here = {s: n for s, n in counts[k].get(context[4 - k :], {}).items() if s not in excluded}
+            if here:
+                size = sum(here.values()) + len(here)
+                if symbol in here:
+                    return math.log10(p * here[symbol] / size)
+                p *= len(here) / size
+                excluded |= set(here)
+        return math.log10(p / (256 - len(excluded)))
+
+    for d, t in rows:
+        s = [255] * 4 + [*t.encode(), 255]
+        want = sum(log_p(tuple(s[i - 4 : i]), s[i]) for i in range(4, len(s)))
+        assert math.isclose(got[d].score, want, rel_tol=1e-5, abs_tol=1e-4), d
