@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraglens.llm import bpe, decontaminate, language_gru, simhash, substring_dedup
+from fraglens.llm import bpe, decontaminate, language_gru, near_duplicates, substring_dedup
 from fraglens.llm.blocks import ensure_checkpoint_dir
 from fraglens.llm.queries import tokenizer_path
 
@@ -30,8 +30,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id (of repeated rows any one; rows without an id stay)."""
-    groups = simhash.simhash_components(docs.select("doc_id", "text"))
+    """One document of each group of near-duplicates (Jaccard similarity of five-word shingles 0.8 or more): that with the smallest id (of repeated rows any one; rows without an id stay)."""
+    groups = near_duplicates.near_components(docs.select("doc_id", "text"))
     firsts = groups.filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(firsts, "doc_id", "left_semi")
     doubled = docs.groupBy("doc_id").count().filter("count > 1").select("doc_id")
