@@ -12,8 +12,9 @@ small rows by the time its wrapper is made.
 For every text slot, the pages of the host are counted, with its characters, the
 characters within links, and whether its text is always the same. A slot is
 template text if three pages or more have it and all alike, while others vary. The
-article is what stands in slots within ``article`` or ``main`` if the wrapper has
-them, else in the smallest element that holds most of the varying text; slots
+article is chosen among a page's own slots, by the counts of its host: what stands
+in slots within ``article`` or ``main`` if the page has them, else in the smallest
+element that holds most of the varying text of these slots on the host; slots
 within menus, headers, footers, sidebars, notices, adverts, forms, comments and
 the like, by element, role or class, and lists of links, are not part of it.
 
@@ -29,7 +30,7 @@ import html
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -263,20 +264,25 @@ def slot_paths(w: list, path: tuple[str, ...] = ()) -> Iterator[str]:
         yield from slot_paths(c, here)
 
 
-def article_slots(wrapper: list, slots: dict[str, dict]) -> list[str]:
-    """The wrapper's slots that hold the article."""
+def free_slots(wrapper: list, slots: dict[str, dict]) -> dict[str, tuple[int, bool]]:
+    """(characters on the whole host, whether mostly links) of the wrapper's slots that may hold the article."""
     paths = list(dict.fromkeys(slot_paths(wrapper)))
     away = {p for p in paths if any(map(is_away, away_keys(p)))}
     fixed = {p for p, s in slots.items() if s["n"] >= 3 and s["low"] == s["high"] and s["pages"] == s["n"]}
     if all(p in fixed or p in away for p in paths):
         fixed = set()
     links = {p for p, s in slots.items() if s["chars"] and s["linked"] > 0.7 * s["chars"]}
-    free = [p for p in paths if p not in away and p not in fixed]
+    return {p: (slots.get(p, {"chars": 0})["chars"], p in links) for p in paths if p not in away and p not in fixed}
+
+
+def article_slots(own: Iterable[str], slots: dict[str, tuple[int, bool]]) -> frozenset[str]:
+    """Of a page's own slots, those that hold its article: a host may have pages of several layouts."""
+    free = [p for p in sorted(own) if p in slots]
     inside = [p for p in free if any(map(is_main, p.split("/")))]
     if inside:
-        return inside
-    free = [p for p in free if p not in links] or free
-    size = {p: slots.get(p, {"chars": 0})["chars"] for p in free}
+        return frozenset(inside)
+    free = [p for p in free if not slots[p][1]] or free
+    size = {p: slots[p][0] for p in free}
     total = sum(size.values())
     root: tuple[str, ...] = ()
     while True:
@@ -289,7 +295,7 @@ def article_slots(wrapper: list, slots: dict[str, dict]) -> list[str]:
         if not heavy:
             break
         root = heavy[0]
-    return [p for p in free if tuple(p.split("/"))[: len(root)] == root]
+    return frozenset(p for p in free if (tuple(p.split("/")) if p else ())[: len(root)] == root)
 
 
 def away_keys(path: str) -> list[str]:
@@ -347,7 +353,7 @@ def merge_structures(texts: list[str]) -> list:
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, article): for each host of pages (host, html) the expression and the JSON list of article slots."""
+    """(host, wrapper, article): for each host of pages (host, html) the expression and the JSON of its free slots."""
     structures, slots = page_facts(pages)
     packed = "host string, structure string"
 
@@ -360,7 +366,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     def second(table: pa.Table) -> pa.Table:
         wrapper = merge_structures(sorted(x for x in table.column("structure").to_pylist() if x is not None))
         rows = [r for r in table.to_pylist() if r["path"] is not None]
-        article = article_slots(wrapper, {r["path"]: r for r in rows})
+        article = free_slots(wrapper, {r["path"]: r for r in rows})
         return pa.table({"host": table.column("host")[:1], "wrapper": pa.array([expression(wrapper)]), "article": pa.array([json.dumps(article)])})
 
     nulls = [F.lit(None).cast("long").alias(c) for c in ("n", "pages", "chars", "linked", "low", "high")]
@@ -385,7 +391,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, frozenset] = {}
+        known: dict[str, tuple[dict, dict]] = {}
         for batch in batches:
             for part in T.slices(batch, "html", SLICE_BYTES):
                 texts = []
@@ -396,9 +402,15 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                     if article not in known:
                         if len(known) > 10_000:
                             known.clear()
-                        known[article] = frozenset(json.loads(article))
-                    slots = known[article]
-                    texts.append("\n\n".join(t for p, t, _ in blocks_of(page) if p in slots))
+                        known[article] = json.loads(article), {}
+                    free, chosen = known[article]
+                    blocks = blocks_of(page)
+                    own = frozenset(p for p, _, _ in blocks)
+                    if own not in chosen:
+                        if len(chosen) > 10_000:
+                            chosen.clear()
+                        chosen[own] = article_slots(own, free)
+                    texts.append("\n\n".join(t for p, t, _ in blocks if p in chosen[own]))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), part.column("wrapper")], names=["page_id", "url", "text", "wrapper"])
 
     return with_wrapper(rows, wrappers).select("page_id", "url", "html", "wrapper", "article").mapInArrow(run, "page_id bigint, url string, text string, wrapper string")

@@ -39,3 +39,18 @@ def test_extraction(spark, monkeypatch, most):
 @pytest.mark.parametrize("bad", ["<p", "<<<>>>", "</div></p>", "<script>x", "<a href='", "<!-- open", "<p>a<table><tr><td>b<td>c</table>d", "&#0;&#xD800;&bogus;", "<p>" * 500 + "x"])
 def test_broken_pages(bad):
     H.merge_structures([__import__("json").dumps(H.fold(H.blocks_of(bad)))])
+
+
+def test_layouts_of_one_host(spark):
+    """Pages without article on a host that has some, and the minority of two layouts without any."""
+    plain = "<body><div class=menu>m</div><div class=text><p>Plain {0} a</p><p>plain {0} b</p></div></body>"
+    rows = [(k, "http://mix.example/", page(k, 2)) for k in range(6)] + [(10 + k, "http://mix.example/", plain.format(k)) for k in range(3)]
+    rows += [(20, "http://mix.example/", "no tags")]
+    rows += [(30 + k, "http://two.example/", f"<body><div class=wide><p>Long {k} {'word ' * 40}</p></div></body>") for k in range(6)]
+    rows += [(40, "http://two.example/", plain.format(40))]
+    got = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got[1].split("\n\n") == ["Title 1 & co", "Para 1.0 with é end", "Para 1.1 with é end"]
+    for k, n in ((10, 0), (11, 1), (12, 2), (40, 40)):
+        assert got[k] == f"Plain {n} a\n\nplain {n} b"
+    assert got[20] == "no tags"
+    assert got[31].startswith("Long 1 word")
