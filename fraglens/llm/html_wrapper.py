@@ -11,7 +11,8 @@ small rows by the time its wrapper is made.
 
 For every text slot, the pages of the host are counted, with its characters, the
 characters within links, and whether its text is always the same. A slot is
-template text if three pages or more have it and all alike, while others vary. The
+template text if it is outside ``article`` and ``main``, and three or more different
+page texts and half of the host's have it once, all alike, while others vary. The
 article is chosen among a page's own slots, by the counts of its host: what stands
 in slots within ``article`` or ``main`` if the page has them, else in the smallest
 element that holds most of the varying text of these slots on the host; slots
@@ -31,8 +32,10 @@ import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +48,8 @@ SLICE_BYTES = 4 << 20
 GROUPS = 32
 BROADCAST_BYTES = 8 << 20
 SALTS = 256
+#: Least number and share of a host's different page texts that have a slot of template text.
+FIXED_PAGES, FIXED_SHARE = 3, 0.5
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -264,11 +269,11 @@ def slot_paths(w: list, path: tuple[str, ...] = ()) -> Iterator[str]:
         yield from slot_paths(c, here)
 
 
-def free_slots(wrapper: list, slots: dict[str, dict]) -> dict[str, tuple[int, bool]]:
+def free_slots(wrapper: list, slots: dict[str, dict], n_texts: int) -> dict[str, tuple[int, bool]]:
     """(characters on the whole host, whether mostly links) of the wrapper's slots that may hold the article."""
     paths = list(dict.fromkeys(slot_paths(wrapper)))
     away = {p for p in paths if any(map(is_away, away_keys(p)))}
-    fixed = {p for p, s in slots.items() if s["n"] >= 3 and s["low"] == s["high"] and s["pages"] == s["n"]}
+    fixed = {p for p, s in slots.items() if s["texts"] >= max(FIXED_PAGES, FIXED_SHARE * n_texts) and s["low"] == s["high"] and s["pages"] == s["n"]}
     if all(p in fixed or p in away for p in paths):
         fixed = set()
     links = {p for p, s in slots.items() if s["chars"] and s["linked"] > 0.7 * s["chars"]}
@@ -298,6 +303,11 @@ def article_slots(own: Iterable[str], slots: dict[str, tuple[int, bool]]) -> fro
     return frozenset(p for p in free if (tuple(p.split("/")) if p else ())[: len(root)] == root)
 
 
+@lru_cache(1 << 16)
+def may_be_fixed(path: str) -> bool:
+    return not any(map(is_main, path.split("/"))) and not any(map(is_away, away_keys(path)))
+
+
 def away_keys(path: str) -> list[str]:
     """Keys that may rule a slot out: within an article, a header may hold its title."""
     keys = path.split("/")
@@ -309,7 +319,10 @@ def away_keys(path: str) -> list[str]:
 
 
 def page_facts(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(host, structure, n) and (host, path, pages, chars, linked, low, high, n) of all pages (host, html)."""
+    """(host, structure, n) and (host, path, pages, chars, linked, low, high, n, texts) of all pages (host, html).
+
+    ``texts``: different page texts with the slot, where it can be template text; without a path, all of the host.
+    """
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,6 +330,7 @@ def page_facts(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
             for part in T.slices(batch, "html", SLICE_BYTES):
                 structures: dict[tuple[str, str], int] = {}
                 slots: dict[tuple[str, str], list] = {}
+                seen_in: set[tuple[str, str | None, int]] = set()
                 for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
                     blocks = blocks_of(page or "")
                     if not blocks:
@@ -324,6 +338,8 @@ def page_facts(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
                     key = host, json.dumps(fold(blocks), separators=(",", ":"))
                     structures[key] = structures.get(key, 0) + 1
                     seen = set()
+                    whole = xxhash.xxh64_intdigest("\0".join(t for _, t, _ in blocks).encode("utf-8", "replace")) - (1 << 63)
+                    seen_in.add((host, None, whole))
                     for path, text, linked in blocks:
                         h = zlib.crc32(text.encode("utf-8", "replace"))
                         s = slots.setdefault((host, path), [0, 0, 0, h, h, 0])
@@ -333,14 +349,18 @@ def page_facts(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
                         s[3], s[4] = min(s[3], h), max(s[4], h)
                         s[5] += 1
                         seen.add(path)
-                rows = [{"host": h, "structure": s, "path": None, "n": n, "pages": None, "chars": None, "linked": None, "low": None, "high": None} for (h, s), n in structures.items()]
-                rows += [{"host": h, "structure": None, "path": p, "n": s[5], "pages": s[0], "chars": s[1], "linked": s[2], "low": s[3], "high": s[4]} for (h, p), s in slots.items()]
+                    seen_in.update((host, p, whole) for p in seen if may_be_fixed(p))
+                rows = [{"host": h, "structure": s, "path": None, "whole": None, "n": n, "pages": None, "chars": None, "linked": None, "low": None, "high": None} for (h, s), n in structures.items()]
+                rows += [{"host": h, "structure": None, "path": p, "whole": None, "n": s[5], "pages": s[0], "chars": s[1], "linked": s[2], "low": s[3], "high": s[4]} for (h, p), s in slots.items()]
+                rows += [{"host": h, "structure": None, "path": p, "whole": w} for h, p, w in seen_in]
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, pa.schema([("host", pa.string()), ("structure", pa.string()), ("path", pa.string()), *[(c, pa.int64()) for c in ("n", "pages", "chars", "linked", "low", "high")]]))
+                    yield pa.RecordBatch.from_pylist(rows, pa.schema([("host", pa.string()), ("structure", pa.string()), ("path", pa.string()), *[(c, pa.int64()) for c in ("whole", "n", "pages", "chars", "linked", "low", "high")]]))
 
-    facts = pages.select("host", "html").mapInArrow(run, "host string, structure string, path string, n long, pages long, chars long, linked long, low long, high long")
-    facts = facts.groupBy("host", "structure", "path").agg(*[F.sum(c).alias(c) for c in ("n", "pages", "chars", "linked")], F.min("low").alias("low"), F.max("high").alias("high"))
-    return facts.filter("structure is not null").select("host", "structure", "n"), facts.filter("path is not null").drop("structure")
+    facts = pages.select("host", "html").mapInArrow(run, "host string, structure string, path string, whole long, n long, pages long, chars long, linked long, low long, high long")
+    facts = cut(facts.groupBy("host", "structure", "path", "whole").agg(*[F.sum(c).alias(c) for c in ("n", "pages", "chars", "linked")], F.min("low").alias("low"), F.max("high").alias("high")))
+    counts = [F.sum(c).alias(c) for c in ("n", "pages", "chars", "linked")]
+    slots = facts.filter("structure is null").groupBy("host", "path").agg(*counts, F.min("low").alias("low"), F.max("high").alias("high"), F.count("whole").alias("texts"))
+    return facts.filter("structure is not null").select("host", "structure", "n"), slots
 
 
 def merge_structures(texts: list[str]) -> list:
@@ -366,10 +386,11 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     def second(table: pa.Table) -> pa.Table:
         wrapper = merge_structures(sorted(x for x in table.column("structure").to_pylist() if x is not None))
         rows = [r for r in table.to_pylist() if r["path"] is not None]
-        article = free_slots(wrapper, {r["path"]: r for r in rows})
+        n_texts = max((x for x, p in zip(table.column("texts").to_pylist(), table.column("path").to_pylist(), strict=True) if x is not None and p is None), default=0)
+        article = free_slots(wrapper, {r["path"]: r for r in rows}, n_texts)
         return pa.table({"host": table.column("host")[:1], "wrapper": pa.array([expression(wrapper)]), "article": pa.array([json.dumps(article)])})
 
-    nulls = [F.lit(None).cast("long").alias(c) for c in ("n", "pages", "chars", "linked", "low", "high")]
+    nulls = [F.lit(None).cast("long").alias(c) for c in ("n", "pages", "chars", "linked", "low", "high", "texts")]
     union = merged.select("host", "structure", F.lit(None).cast("string").alias("path"), *nulls).unionByName(slots.withColumn("structure", F.lit(None).cast("string")))
     return union.groupBy("host").applyInArrow(second, "host string, wrapper string, article string")
 

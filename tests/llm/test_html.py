@@ -54,3 +54,19 @@ def test_layouts_of_one_host(spark):
         assert got[k] == f"Plain {n} a\n\nplain {n} b"
     assert got[20] == "no tags"
     assert got[31].startswith("Long 1 word")
+
+
+def test_copies_are_not_template_text(spark):
+    """Copies of a page with blocks of its own lose none; nor do blocks of an article that are alike on many pages; template text goes."""
+    one = "<body><article><h1>Own</h1><blockquote>Quote</blockquote></article></body>"
+    lead = "<body><article><h4>Series</h4><p>Part {0}</p></article></body>"
+    rows = [(k, "http://a.example/", one) for k in range(3)] + [(10 + k, "http://a.example/", page(k, 2)) for k in range(4)]
+    rows += [(20 + k, "http://b.example/", lead.format(k)) for k in range(5)]
+    few = "<body><div class=box><h3>Same title</h3><p>Text {0}</p></div></body>"
+    rows += [(30 + k, "http://c.example/", few.format(k)) for k in range(3)] + [(40 + k, "http://c.example/", f"<body><div class=box><p>Other {k}</p></div></body>") for k in range(6)]
+    rows += [(60 + k, "http://d.example/", f"<body><div class=box><h6>Always here</h6><p>Text {k}</p></div></body>") for k in range(6)]
+    got = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got[0] == got[2] == "Own\n\nQuote"
+    assert got[21] == "Series\n\nPart 1"
+    assert got[31] == "Same title\n\nText 1"
+    assert got[61] == "Text 1"
