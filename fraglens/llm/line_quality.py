@@ -9,14 +9,15 @@ that leaves under ``least_words`` words, or under ``least_share`` of its words,
 and it has lost any. Base rules on words, symbols and repeats come with it.
 
 All of it is DataFrame functions. Lines leave their document as a hash and a
-word count; counting has a map-side combine, so that a line in a third of all
-documents is a row for each task, and the join back splits hot keys (its left
-side is many rows, its right side one).
+word count; they are made distinct by document, so that a hot line is dealt out,
+and then counted with a map-side combine. The join back is salted: a common line's
+occurrences meet ``SALTS`` copies of its one row.
 
 Special cases: null text has no words (base_failed is true); empty texts the same;
-a null host is a host of its own; repeated rows get a row each (rows with equal
-id and text count as one document); an empty table gives an empty result; extra
-columns are not carried.
+texts of any length are counted exactly; a null host is a host of its own; rows
+of equal id are one document for the counts, a row without an id is the document
+of its text; repeated rows get a row each; an empty table gives an empty result;
+extra columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 LIMIT = 100
 LEAST_WORDS = 10
 LEAST_SHARE = 0.2
+#: Copies of a common line that its occurrences are joined with.
+SALTS = 8
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -38,18 +41,22 @@ def words(text: str) -> Column:
 def repeated_words(w: str) -> Column:
     """Words in three-word windows that occur twice or more in the array column ``w``.
 
-    Windows are numbers: a hash in the upper bits, the position in the lower ones, as many as the text needs (so that
-    under 2**40 windows the hash has over 23 bits more than pairs call for). Sorted, equal windows are neighbours.
+    Windows that may repeat are found by numbers: a hash in the upper bits, the position in the lower ones, as many as
+    the text needs. Sorted, equal hashes are neighbours. No repeat is missed; what collides is then compared by its
+    words, so that a text of any length is counted exactly.
     """
+    at = "CAST(x.p AS INT)"
     return F.expr(f"""
       CASE WHEN size({w}) < 3 THEN 0L ELSE element_at(transform(array(length(bin(size({w})))), b ->
         aggregate(
-          sort_array(transform(array(sort_array(transform(sequence(0, size({w}) - 3), i ->
+          transform(array(transform(array(sort_array(transform(sequence(0, size({w}) - 3), i ->
             shiftleft(shiftright(xxhash64({w}[i], {w}[i + 1], {w}[i + 2]), b), b) + i))), s ->
               transform(filter(transform(s, (x, i) -> IF((i > 0 AND shiftright(x, b) = shiftright(s[i - 1], b)) OR (i < size(s) - 1 AND shiftright(x, b) = shiftright(s[i + 1], b)), x, NULL)), x -> x IS NOT NULL),
-                x -> x - shiftleft(shiftright(x, b), b)))[0]),
+                x -> CAST(x - shiftleft(shiftright(x, b), b) AS INT)))[0]), m ->
+            transform(array(sort_array(transform(m, p -> named_struct('k', concat_ws(' ', {w}[p], {w}[p + 1], {w}[p + 2]), 'p', p)))), s ->
+              sort_array(transform(filter(s, (x, i) -> (i > 0 AND x.k = s[greatest(i - 1, 0)].k) OR (i < size(s) - 1 AND x.k = s[least(i + 1, size(s) - 1)].k)), x -> {at})))[0])[0],
           named_struct('n', 0L, 'till', -1L),
-          (a, p) -> named_struct('n', a.n + p + 3 - greatest(p, a.till), 'till', p + 3),
+          (a, p) -> named_struct('n', a.n + p + 3 - greatest(CAST(p AS LONG), a.till), 'till', p + 3L),
           a -> a.n)), 1) END
     """)
 
@@ -85,9 +92,12 @@ def line_rows(docs: DataFrame) -> DataFrame:
 def words_in_common_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(id, host, content, n_removed): words in lines above the limit, for documents that have any; docs has id, host, text."""
     lines = line_rows(docs)
-    spread = lines.select("host", "line", "content").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs"))
-    common = spread.filter(F.col("n_docs") > limit).select(F.col("host").alias("h2"), F.col("line").alias("l2"))
-    hit = lines.join(common, (F.col("line") == F.col("l2")) & F.col("host").eqNullSafe(F.col("h2")), "left_semi")
+    document = F.when(F.col("id").isNull(), F.col("content")).alias("unnamed")
+    spread = lines.select("host", "line", "id", document).distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    common = spread.filter(F.col("n_docs") > limit).select(F.col("host").alias("h2"), F.col("line").alias("l2"), salts.alias("s2"))
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("id", "content"), F.lit(SALTS)).cast("int"))
+    hit = salted.join(common, (F.col("line") == F.col("l2")) & (F.col("salt") == F.col("s2")) & F.col("host").eqNullSafe(F.col("h2")), "left_semi")
     once = hit.groupBy("id", "host", "content", "at").agg(F.max("n").alias("n"))
     return once.groupBy("id", "host", "content").agg(F.sum("n").cast("long").alias("n_removed"))
 

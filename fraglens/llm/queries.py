@@ -130,7 +130,7 @@ rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc
 reps AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
 lines AS (SELECT doc_id, source, text, trim(regexp_replace(regexp_replace(lower(raw), '[0-9]', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS line,
   len(list_filter(regexp_split_to_array(raw, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS n FROM (SELECT doc_id, source, text, unnest(ls) AS raw FROM d)),
-common AS (SELECT source, line FROM lines GROUP BY source, line HAVING count(DISTINCT text) > {line_quality.LIMIT}),
+common AS (SELECT source, line FROM lines GROUP BY source, line HAVING count(DISTINCT doc_id) > {line_quality.LIMIT}),
 gone AS (SELECT doc_id, sum(n) AS n FROM lines SEMI JOIN common USING (source, line) GROUP BY doc_id),
 f AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,

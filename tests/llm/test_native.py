@@ -39,10 +39,10 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 def brute_quality(rows, limit):
     norm = lambda line: " ".join(WORD.findall(re.sub("[0-9]", "0", line.lower())))
     spread = defaultdict(set)
-    for _, t, h in rows:
+    for d, t, h in rows:
         for line in (t or "").split("\n"):
             if WORD.search(line):
-                spread[h, norm(line)].add(t)
+                spread[h, norm(line)].add((d, None) if d is not None else (None, t))
     out = []
     for d, t, h in rows:
         t = t or ""
@@ -67,3 +67,18 @@ def test_quality_rules(spark):
     got = Q.quality_rules(df, limit=2).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_quality(rows, 2)
     assert Q.quality_rules(df.limit(0)).collect() == []
+
+
+def test_quality_rules_on_long_texts_and_clashing_columns(spark):
+    many = " ".join(f"w{i}" for i in range(300_000))
+    again = many + " w5 w6 w7\n" + "a b c d " * 20_000
+    rows = [(1, many, "h", 1, 2), (2, again, "h", 1, 2), (2, again, "h", 3, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_words int, salt int").withColumnsRenamed({"n_words": "host", "salt": "id"}).selectExpr("*", "1 as line", "2 as w_", "3 as h2")
+    got = sorted((r.doc_id, r.n_words, r.n_repeat_words, r.kept) for r in Q.quality_rules(df).collect())
+    assert got == [(1, 300_000, 0, True), *[(2, 380_003, 80_006, True)] * 2]
+
+
+def test_urls_of_any_length_with_clashing_columns(spark):
+    long = "http://net/" + "a/" * 200_000 + "login"
+    df = spark.createDataFrame([(1, long, "x", "y"), (2, long[:-1], "x", "y")], "page_id long, url string, pattern string, host string").selectExpr("*", "'z' as verdict", "1 as token", "2 as low")
+    assert sorted((r.page_id, r.host, r.verdict) for r in U.filter_urls(df).collect()) == [(1, "net", "block"), (2, "net", "allow")]
