@@ -3,26 +3,40 @@
 A wrapper is a union-free regular expression over a page's block structure: a
 tree of elements and text slots, each once, optional (?), repeated (+) or both
 (*). A page is folded first: adjacent siblings of the same kind become one
-repeated element. Same-host pages are then aligned with the wrapper so far, level
-by level along the longest common run of siblings; what only one side has becomes
-optional, and what matches is merged. Equal folded structures count once, and
-hosts are merged in two steps, so that a host with a third of all pages is a few
-small rows by the time its wrapper is made.
+repeated element (of more than ``WIDE`` siblings, all of one kind do). Same-host
+pages are then aligned with the wrapper so far, level by level along the longest
+common run of siblings; what only one side has becomes optional, and what matches
+is merged. Equal folded structures count once; a host of more than ``FAN`` of them
+is merged as a tree, ``FAN`` at a time in tasks of their own, so that a host with a
+third of all pages is a few small rows by the time its wrapper is made.
 
 For every text slot, the pages of the host are counted, with its characters, the
 characters within links, and whether its text is always the same. A slot is
 template text if it is outside ``article`` and ``main``, and three or more different
-page texts and half of the host's have it once, all alike, while others vary. The
-article is chosen among a page's own slots, by the counts of its host: what stands
-in slots within ``article`` or ``main`` if the page has them, else in the smallest
-element that holds most of the varying text of these slots on the host; slots
-within menus, headers, footers, sidebars, notices, adverts, forms, comments and
-the like, by element, role or class, and lists of links, are not part of it.
+page texts and half of the host's have it once, all alike, while others vary; a
+slot is a list of links if most of its characters are. The article is chosen among
+a page's own other slots, by the counts of its host. The slots within ``article`` or
+``main`` are taken if they hold a quarter of the varying text; else the smallest
+element that holds most of it, with the headline before it.
+
+Roles, element names and class words such as ``header`` or ``sidebar`` are hints: what
+stands below such an element is left out, unless the counts say that the element is
+a frame of the page. It is one if an article, a main part or a varying headline
+stands in it, or if, once on every page, it holds ``BULK`` of the varying text. So
+a class of ``body`` or a form around the page rules nothing out, while comments,
+adverts and notices, which are optional, repeated or small, go.
 
 Text: character references are decoded, white space within a block becomes one
-space, blocks are joined by an empty line. Special cases: null or empty html
-gives ""; html without any tag is one block; a null or schemeless url has the
-host ""; repeated rows get a row each; an empty table gives an empty result.
+space, blocks are joined by an empty line. Elements that are not of block kind
+(``svg``, ``math``, unknown ones) leave their text in place; the contents of scripts,
+styles, templates, frames, page titles and text fields are none. A quote that is
+never closed ends with its tag.
+
+Special cases: null or empty html gives ""; html without any tag is one block;
+pages of any length and depth are read whole, but elements more than ``DEPTH`` deep
+count to the one they stand in; a null or schemeless url has the host ""; repeated
+rows get a row each; an empty table gives an empty result; extra columns, whatever
+their names, are not carried.
 """
 
 from __future__ import annotations
@@ -31,6 +45,7 @@ import html
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -44,70 +59,98 @@ from .blocks import cut, lean
 from .url_filter import host_and_path
 
 SLICE_BYTES = 4 << 20
-#: First-step groups of a host; each merges the structures that hash there.
-GROUPS = 32
+#: Structures that are merged in one task, for a host in one step.
+FAN = 64
+#: Siblings that are told apart by place, and depth to which elements are told apart.
+WIDE, DEPTH = 64, 64
 BROADCAST_BYTES = 8 << 20
 SALTS = 256
 #: Least number and share of a host's different page texts that have a slot of template text.
 FIXED_PAGES, FIXED_SHARE = 3, 0.5
+#: Shares of the varying text: what makes a hinted element a frame, and an article or main part the article; of characters in links, for a list of links.
+BULK, MAIN_SHARE, LINKED = 0.8, 0.25, 0.7
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_ATTRIBUTES = r"((?:[^>\"']+|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*+)(?:>|\Z)"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*){_ATTRIBUTES}|</?([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas"}
+#: Element names of HTML.
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+BLOCK = set(
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html"
+    " legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
+)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that end an open paragraph, and what ends an open item.
-LEAF = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "li", "td", "th", "tr", "option"}
+LEAF = {"p", *HEADINGS, "dt", "dd", "li", "td", "th", "tr", "option"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "article", "main", "section", "div", "body", "nav", "header", "footer", "aside", "form", "select", "blockquote"}
-AWAY = {"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "button", "select", "head", "menu", "dialog", "fieldset", "iframe", "template"}
+#: Elements and roles that hint at other things than an article.
+AWAY = {"nav", "header", "footer", "aside", "form", "button", "select", "head", "menu", "dialog", "fieldset", "search"}
 AWAY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar"}
-#: Fixed value: class and id words of what is not an article.
+#: Class and id words that do.
 AWAY_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising adbox adsense banner banners sponsor sponsored sponsors promo promos promotion promoted"
-    " nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar topbar sidebar sidebars side aside widget widgets rail"
-    " header masthead footer foot copyright colophon legal disclaimer notice notices alert cookie cookies consent gdpr"
-    " comment comments commentlist discussion disqus reply replies respond feedback reactions"
-    " share sharing social follow subscribe subscription newsletter signup login search searchbox form popup modal overlay"
-    " related recommended recommendations trending popular tags tagcloud skip hidden".split()
+    "ad ads advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs pagination toolbar sidebar aside widget"
+    " header footer copyright disclaimer notice notices cookie cookies consent share social newsletter signup login search popup modal related".split()
 )
-SPACE_RUN = re.compile(r"[\s​]+")
-
-
-class Node:
-    __slots__ = ("key", "tag", "children")
-
-    def __init__(self, key: str, tag: str):
-        self.key, self.tag, self.children = key, tag, []
+#: Of these, those that no share of the text makes a frame: readers' part of a page may be longer than the article.
+READERS = {"comment", "comments", "commentlist", "replies", "respond", "discussion", "disqus"}
+NUMBERED = re.compile(r"[0-9a-f]*[0-9][0-9a-f]*")
+SPACE_RUN = re.compile(r"\s+")
 
 
 def element_key(tag: str, attributes: str) -> str:
-    """The tag with its role, id and class words."""
+    """The tag with its role, id and class words; numbers in them, which tell single items apart, are 0."""
     if "=" not in attributes:
         return tag
     marks = {}
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name = name.lower()
-        if name in ("class", "id", "role", "aria-label", "hidden"):
-            marks[name] = a or b or c
-    return tag + "".join(f"@{marks['role'].lower()}" if "role" in marks else "") + "".join("." + w for n in ("id", "class") for w in marks.get(n, "").lower().split())
+        if name in ("class", "id", "role"):
+            marks.setdefault(name, a or b or c)
+    words = [NUMBERED.sub("0", w) for n in ("id", "class") for w in marks.get(n, "").lower().replace("/", " ").replace(".", " ").replace("@", " ").split()]
+    role = marks.get("role", "").lower().split()
+    return tag + (f"@{role[0].replace('/', '').replace('.', '')}" if role else "") + "".join("." + w for w in dict.fromkeys(words))
 
 
-def is_away(key: str) -> bool:
+def key_parts(key: str) -> tuple[str, str, set[str]]:
+    """(tag, role, class and id words with their parts)"""
     tag, _, rest = key.partition(".")
     tag, _, role = tag.partition("@")
-    return tag in AWAY or role in AWAY_ROLES or any(part in AWAY_WORDS for w in rest.split(".") if w for part in {w, *re.split("[-_]+", w)})
+    return tag, role, {part for w in rest.split(".") if w for part in (w, *re.split("[-_]+", w))}
+
+
+@lru_cache(1 << 16)
+def hint(key: str) -> int:
+    """2 for a hint at something that is never a frame by its share of the text, 1 for any other hint, else 0."""
+    tag, role, words = key_parts(key)
+    if tag in ("body", "html") or is_main(key):
+        return 0
+    if tag in ("nav", "footer", "aside", "head") or words & READERS:
+        return 2
+    return int(tag in AWAY or role in AWAY_ROLES or bool(words & AWAY_WORDS))
 
 
+@lru_cache(1 << 16)
 def is_main(key: str) -> bool:
-    tag = key.partition(".")[0]
-    return tag.partition("@")[0] in ("article", "main") or tag.endswith("@main")
+    tag, role, _ = key_parts(key)
+    return tag in ("article", "main") or role in ("article", "main")
+
+
+def tag_of(key: str) -> str:
+    return key.partition(".")[0].partition("@")[0]
+
+
+@lru_cache(64)
+def end_of(tag: str) -> re.Pattern:
+    return re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*(?:>|\\Z)", re.I)
 
 
 def blocks_of(page: str) -> list[tuple[str, str, int]]:
     """(path, text, characters in links) of every text block, in page order; the path has the keys of open elements."""
     out: list[tuple[str, str, int]] = []
     stack: list[tuple[str, str]] = []
+    is_open: Counter[str] = Counter()
     held: list[str] = []
     linked, in_link, at = 0, 0, 0
 
@@ -116,14 +159,18 @@ def blocks_of(page: str) -> list[tuple[str, str, int]]:
         if held:
             text = SPACE_RUN.sub(" ", html.unescape("".join(held))).strip()
             if text:
-                out.append(("/".join(k for _, k in stack), text, min(linked, len(text))))
+                out.append(("/".join(k for _, k in stack[:DEPTH]), text, min(linked, len(text))))
             held.clear()
         linked = 0
 
     def close(tag: str, scope: bool) -> None:
+        if not is_open[tag]:
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == tag:
                 flush()
+                for t, _ in stack[i:]:
+                    is_open[t] -= 1
                 del stack[i:]
                 return
             if scope and stack[i][0] in SCOPE:
@@ -140,40 +187,36 @@ def blocks_of(page: str) -> list[tuple[str, str, int]]:
         if not m:
             break
         at = m.end()
-        tag = m[1]
+        tag, attributes = (m[1], m[2]) if m[1] else (m[3], m[4])
         if tag is None:
             if m[0].startswith("<![CDATA["):
                 held.append(html.escape(m[0][9:].removesuffix("]]>")))
             continue
         tag = tag.lower()
         opening = page[m.start() + 1] != "/"
+        empty = attributes.endswith("/")
         if tag in RAW:
-            if opening and not m[2].endswith("/"):
-                stop = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
-                at = stop.end() if stop else size
-            continue
-        if tag in INLINE:
-            if tag == "a":
-                in_link = int(opening)
-            continue
-        if tag in VOID:
+            if opening and not empty:
+                stop = end_of(tag).search(page, at)
+                if stop:
+                    at = stop.end()
+                elif tag in ("script", "style"):
+                    at = size
+        elif tag in VOID:
             if tag == "hr":
                 flush()
             else:
                 held.append(" ")
-            continue
-        if opening:
+        elif tag not in BLOCK and "-" not in tag:
+            if tag == "a":
+                in_link = int(opening)
+        elif opening:
             flush()
-            if tag in CLOSES:
-                for t in CLOSES[tag]:
-                    close(t, True)
-            else:
-                close("p", True)
-            if tag == "p" or tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                close("p", True)
-            if m[2] and m[2].endswith("/"):
-                continue
-            stack.append((tag, element_key(tag, m[2] or "")))
+            for t in CLOSES.get(tag, ("p",)):
+                close(t, True)
+            if not empty:
+                stack.append((tag, element_key(tag, attributes)))
+                is_open[tag] += 1
         else:
             close(tag, False)
             flush()
@@ -221,6 +264,12 @@ def settle(node: list) -> list:
             out[-1] = merged
         elif not (out and out[-1][0] == child[0] == "#"):
             out.append(child)
+    if len(out) > WIDE:
+        kinds: dict[str, list] = {}
+        for child in out:
+            seen = kinds.get(child[0])
+            kinds[child[0]] = child if seen is None else [child[0], "*" if "?" in seen[1] + child[1] or "*" in seen[1] + child[1] else "+", align(seen, child)[2]]
+        out = list(kinds.values())
     return [node[0], node[1], out]
 
 
@@ -261,58 +310,82 @@ def expression(w: list) -> str:
     return f"(<{w[0]}> {inner} </{w[0].partition('.')[0].partition('@')[0]}>){w[1].replace('1', '')}"
 
 
-def slot_paths(w: list, path: tuple[str, ...] = ()) -> Iterator[str]:
-    here = (*path, w[0]) if w[0] and w[0] != "#" else path
+def slot_paths(w: list, path: tuple[str, ...] = (), times: str = "") -> Iterator[tuple[str, str]]:
+    """(path, multiplicity of each element on it) of every text slot."""
+    here, times = ((*path, w[0]), times + w[1]) if w[0] and w[0] != "#" else (path, times)
     if w[0] == "#":
-        yield "/".join(here)
+        yield "/".join(here), times
     for c in w[2]:
-        yield from slot_paths(c, here)
+        yield from slot_paths(c, here, times)
 
 
-def free_slots(wrapper: list, slots: dict[str, dict], n_texts: int) -> dict[str, tuple[int, bool]]:
-    """(characters on the whole host, whether mostly links) of the wrapper's slots that may hold the article."""
-    paths = list(dict.fromkeys(slot_paths(wrapper)))
-    away = {p for p in paths if any(map(is_away, away_keys(p)))}
+def free_slots(wrapper: list, slots: dict[str, dict], n_texts: int) -> dict[str, tuple[int, bool, str]]:
+    """(characters on the whole host, whether mostly links, multiplicities) of the wrapper's slots that are not template text."""
+    paths: dict[str, str] = {}
+    for p, times in slot_paths(wrapper):
+        paths[p] = "".join(map(both, paths[p], times)) if p in paths else times
     fixed = {p for p, s in slots.items() if s["texts"] >= max(FIXED_PAGES, FIXED_SHARE * n_texts) and s["low"] == s["high"] and s["pages"] == s["n"]}
-    if all(p in fixed or p in away for p in paths):
+    if all(p in fixed or any(map(hint, p.split("/"))) for p in paths):
         fixed = set()
-    links = {p for p, s in slots.items() if s["chars"] and s["linked"] > 0.7 * s["chars"]}
-    return {p: (slots.get(p, {"chars": 0})["chars"], p in links) for p in paths if p not in away and p not in fixed}
+    links = {p for p, s in slots.items() if s["chars"] and s["linked"] > LINKED * s["chars"]}
+    return {p: (slots.get(p, {"chars": 0})["chars"], p in links, times) for p, times in paths.items() if p not in fixed}
 
 
-def article_slots(own: Iterable[str], slots: dict[str, tuple[int, bool]]) -> frozenset[str]:
+def hinted_away(free: list[str], slots: dict[str, tuple[int, bool, str]]) -> set[str]:
+    """Slots below an element with a hint that is no frame of the page."""
+    keys = {p: p.split("/") for p in free}
+    size = {p: 0 if slots[p][1] else slots[p][0] for p in free}
+    total = sum(size.values())
+    away: set[str] = set()
+    below: dict[tuple[str, ...], list[str]] = {}
+    for p in free:
+        for i, k in enumerate(keys[p]):
+            # Within an article, a header may hold its title.
+            if hint(k) and not (tag_of(k) == "header" and any(map(is_main, keys[p][:i]))):
+                below.setdefault(tuple(keys[p][: i + 1]), []).append(p)
+    for e, mine in sorted(below.items(), key=lambda x: len(x[0])):
+        rest = {p: keys[p][len(e) :] for p in mine}
+        tag = tag_of(e[-1])
+        frame = tag not in ("nav", "footer", "aside", "head") and any(any(map(is_main, r)) or (r and tag_of(r[-1]) == "h1" and not any(map(hint, r)) and not slots[p][1]) for p, r in rest.items())
+        frame = frame or (hint(e[-1]) == 1 and slots[mine[0]][2][: len(e)].strip("1") == "" and sum(size[p] for p in mine) >= BULK * total > 0)
+        if not frame:
+            away.update(mine)
+    return away
+
+
+def article_slots(own: Iterable[str], slots: dict[str, tuple[int, bool, str]]) -> frozenset[str]:
     """Of a page's own slots, those that hold its article: a host may have pages of several layouts."""
     free = [p for p in sorted(own) if p in slots]
+    away = hinted_away(free, slots)
+    free = [p for p in free if p not in away]
+    size = {p: 0 if slots[p][1] else slots[p][0] for p in free}
+    total = sum(size.values())
     inside = [p for p in free if any(map(is_main, p.split("/")))]
-    if inside:
+    if inside and sum(size[p] for p in inside) >= MAIN_SHARE * total:
         return frozenset(inside)
-    free = [p for p in free if not slots[p][1]] or free
-    size = {p: slots[p][0] for p in free}
-    total = sum(size.values())
+    kept = [p for p in free if not slots[p][1]] or free
     root: tuple[str, ...] = ()
     while True:
         under: dict[tuple[str, ...], int] = {}
-        for p in free:
+        for p in kept:
             keys = tuple(p.split("/")) if p else ()
-            if len(keys) > len(root) and keys[: len(root)] == root and keys[len(root)].partition(".")[0].partition("@")[0] not in LEAF:
+            if len(keys) > len(root) and keys[: len(root)] == root and tag_of(keys[len(root)]) not in LEAF:
                 under[keys[: len(root) + 1]] = under.get(keys[: len(root) + 1], 0) + size[p]
         heavy = [k for k, n in under.items() if n > 0.6 * total]
         if not heavy:
             break
         root = heavy[0]
-    return frozenset(p for p in free if (tuple(p.split("/")) if p else ())[: len(root)] == root)
+    within = frozenset(p for p in kept if (tuple(p.split("/")) if p else ())[: len(root)] == root)
+    if not any(tag_of(p.rsplit("/", 1)[-1]) == "h1" for p in within):
+        within |= {p for p in kept if tag_of(p.rsplit("/", 1)[-1]) == "h1"}
+    return within
 
 
 @lru_cache(1 << 16)
 def may_be_fixed(path: str) -> bool:
-    return not any(map(is_main, path.split("/"))) and not any(map(is_away, away_keys(path)))
-
-
-def away_keys(path: str) -> list[str]:
-    """Keys that may rule a slot out: within an article, a header may hold its title."""
+    """Slots whose different page texts are counted: not those of articles, nor those that no count lets in."""
     keys = path.split("/")
-    main = next((i for i, k in enumerate(keys) if is_main(k)), None)
-    return [k for i, k in enumerate(keys) if not (main is not None and i > main and k.partition(".")[0] == "header")]
+    return not any(map(is_main, keys)) and not any(tag_of(k) in ("nav", "footer", "aside", "head") for k in keys)
 
 
 # -- Spark ------------------------------------------------------------------
@@ -380,8 +453,16 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     def first(table: pa.Table) -> pa.Table:
         return pa.table({"host": table.column("host")[:1], "structure": pa.array([json.dumps(merge_structures(sorted(table.column("structure").to_pylist())), separators=(",", ":"))])})
 
-    part = F.pmod(F.xxhash64("structure"), F.lit(GROUPS)).cast("int")
-    merged = structures.select("host", "structure", part.alias("part")).groupBy("host", "part").applyInArrow(lambda t: first(t), packed)
+    merged, few = structures.select("host", "structure"), None
+    while True:
+        many = merged.groupBy("host").agg(F.count("*").alias("k")).filter(F.col("k") > FAN)
+        if not many.limit(1).count():
+            break
+        rest = merged.join(many, "host", "left_anti")
+        few = rest if few is None else few.unionByName(rest)
+        part = F.pmod(F.xxhash64("structure"), F.ceil(F.col("k") / FAN)).cast("int")
+        merged = cut(merged.join(many, "host").select("host", "structure", part.alias("part")).groupBy("host", "part").applyInArrow(lambda t: first(t), packed))
+    merged = merged if few is None else few.unionByName(merged)
 
     def second(table: pa.Table) -> pa.Table:
         wrapper = merge_structures(sorted(x for x in table.column("structure").to_pylist() if x is not None))
