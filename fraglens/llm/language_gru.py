@@ -5,14 +5,18 @@ runs forwards and one backwards; from both states every byte gets a probability
 for each language. A document's probabilities are the mean over all its bytes,
 whatever its length. Many segments advance in step, so that numpy works on
 matrices. The network is trained on the driver by backpropagation through time,
-with Adam, on segments of a bounded sample (``sample`` texts of each language, a
-documented parameter) of labelled documents outside the fold. The weights are a
-few thousand numbers, which are broadcast.
+with Adam, on segments of a bounded sample (``sample`` texts of each language, of
+a longer text ``TEXT_SEGMENTS`` segments at even distances: documented parameters)
+of labelled documents outside the fold. All languages of the labels are learned;
+over ``samples.MOST_LABELS`` are an error. The weights are a few thousand numbers,
+which are broadcast.
 
 Special cases: a text that is null or has no letters is ``und`` with score 0;
 without any labelled row all are ``und``; ties go to the first language in
-alphabetic order; repeated rows get a row each; an empty table gives an empty
-result.
+alphabetic order; texts of any length are read whole when they are judged; a row
+that is repeated is learned once and gets a row each time; a null id is held out;
+an empty table gives an empty result; extra columns, whatever their names, are
+kept if named in ``carry``.
 """
 
 from __future__ import annotations
@@ -33,8 +37,8 @@ HIDDEN = 12
 SAMPLE = 400
 STEPS = 300
 BATCH = 128
-#: Segments of the sample that training may draw from, of each language.
-SEGMENTS = 6000
+#: Segments of one text in the sample, and of all of a language's that training may draw from.
+TEXT_SEGMENTS, SEGMENTS = 64, 6000
 SLICE_BYTES = 1 << 20
 ASCII_LETTERS = T.byte_set((0x41, 0x5A), (0x61, 0x7A))
 
@@ -132,12 +136,12 @@ def segments(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return x, used, doc
 
 
-def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 7) -> tuple[list[str], dict[str, np.ndarray]]:
+def train(rows: list[tuple[str, bytes]], steps: int = STEPS, seed: int = 7) -> tuple[list[str], dict[str, np.ndarray]]:
     langs = sorted({r[0] for r in rows})
     rng = np.random.RandomState(seed)
     xs, ms, ys = [], [], []
     for k, lang in enumerate(langs):
-        raw, off, _ = T.buffers(pa.array([t for v, t in rows if v == lang], pa.large_string()))
+        raw, off, _ = T.buffers(pa.array([t for v, t in rows if v == lang], pa.large_binary()))
         x, used, _ = segments(raw, off)
         pick = rng.permutation(x.shape[1])[:SEGMENTS]
         xs.append(x[:, pick])
@@ -185,7 +189,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(doc_id, held_out, lang_pred, score) and the columns ``carry``, learned from labelled rows outside the fold."""
     known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("label"))
     known = known.filter("text is not null and label is not null").filter(samples.out_of_fold("id", modulus, rest))
-    rows = samples.per_class(known, "label", sample)
+    rows = samples.per_class(known, "label", sample, SEGMENT, TEXT_SEGMENTS)
     shared = docs.sparkSession.sparkContext.broadcast(train(rows) if rows else ([], {}))
     inner = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *carry)
     out = inner.drop("_text").schema.add("_lang", "string").add("_score", "double")

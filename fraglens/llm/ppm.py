@@ -16,9 +16,10 @@ The unigram base counts words exactly: blocks of documents ask hash buckets for
 the training counts of their distinct words (see blocks.py), so a frequent word
 is one entry for each block. Words are told apart by 64-bit fingerprints.
 
-Special cases: null text counts as empty, which has one token, the end; a null
-id is held out; repeated rows are learned and scored each; an empty table gives
-an empty result; extra columns are not carried.
+Special cases: null text counts as empty, which has one token, the end; texts of
+any length are learned and scored whole; a null id is held out; repeated rows are
+learned and scored each; an empty table gives an empty result; extra columns,
+whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ from . import text as T
 
 ORDER = 4
 BYTES = 256
-SYMBOLS = 64  # of Model
 FILL = 0xFF  # in no UTF-8 text; around texts, and as a symbol the end
 GAPS = T.WHITE | (np.arange(256) == FILL)
 
@@ -138,55 +138,6 @@ def log_probabilities(codes: np.ndarray, counts: np.ndarray, low: Low) -> np.nda
     return np.log10(_step(n4, total4[g4], kinds4[g4], kinds4[g4] == BYTES, e4)).astype(np.float32)
 
 
-class Model:
-    """The same probabilities as dense tables over a small alphabet, from counts of 4- and 5-symbol codes; tests hold the formulas by it, no query uses it."""
-
-    def __init__(self, byte_counts: np.ndarray, codes4: np.ndarray, counts4: np.ndarray, codes5: np.ndarray, counts5: np.ndarray):
-        n3 = np.zeros(SYMBOLS**4, np.float32)
-        n3[codes4] = counts4
-        n3 = n3.reshape(SYMBOLS, SYMBOLS**2, SYMBOLS)
-        n2 = n3.sum(0, dtype=np.float64).reshape(SYMBOLS, SYMBOLS, SYMBOLS)
-        n1 = n2.sum(0).reshape(SYMBOLS, 1, SYMBOLS)
-        n0 = n1.sum(0)
-        blank = n0 == 0
-        last = np.broadcast_to(1.0 / np.maximum(blank.sum(-1, keepdims=True), 1), n0.shape)
-        e0 = self._escaped(n1, n0, last)  # after a context of one symbol
-        e1 = self._escaped(n2, n1.reshape(SYMBOLS, SYMBOLS), e0.reshape(SYMBOLS, SYMBOLS))
-        n2f, e1f = n2.reshape(-1, SYMBOLS), e1.reshape(-1, SYMBOLS)
-        self.order3 = np.empty((SYMBOLS**3, SYMBOLS), np.float32)
-        order = np.argsort(codes5, kind="stable")
-        contexts, first = np.unique(codes5[order] >> 6, return_index=True)
-        self.node = np.zeros(SYMBOLS**4, np.uint16)
-        self.node[contexts] = np.arange(1, len(contexts) + 1)
-        n4 = np.zeros((len(contexts), SYMBOLS))
-        n4[np.repeat(np.arange(len(contexts)), np.diff(np.append(first, len(order)))), (codes5[order] & 63).astype(np.int64)] = counts5[order]
-        e3 = np.empty_like(n4)
-        parents = contexts & (SYMBOLS**3 - 1)
-        for a in range(SYMBOLS):
-            e2 = self._escaped(n3[a], n2f, e1f)
-            self.order3[a << 12 : (a + 1) << 12] = np.log10(self._full(n3[a].astype(np.float64), e2))
-            mine = np.flatnonzero(parents >> 12 == a)
-            if len(mine):
-                p = parents[mine] & 4095
-                e3[mine] = self._escaped(n4[mine], n3[a][p].astype(np.float64), e2[p])
-        self.order4 = np.log10(self._full(n4, e3)).astype(np.float32)
-
-    @staticmethod
-    def _escaped(above: np.ndarray, here: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Probability of each symbol after an escape from ``above``, of use where that has not seen it."""
-        new = (here > 0) & (above == 0)
-        total, kinds = (here * new).sum(-1, keepdims=True), new.sum(-1, keepdims=True)
-        size = np.maximum(total + kinds, 1)
-        # If what is left has no unseen symbol, there is nothing to escape to.
-        whole = ((above > 0) | (here > 0)).all(-1, keepdims=True)
-        size = np.where(whole & (kinds > 0), np.maximum(total, 1), size)
-        return np.where(new, here / size, np.where(kinds > 0, kinds / size, 1.0) * below)
-
-    @staticmethod
-    def _full(here: np.ndarray, below: np.ndarray) -> np.ndarray:
-        return Model._escaped(np.zeros_like(here), here, below)
-
-
 _held: dict[int, Low] = {}
 
 

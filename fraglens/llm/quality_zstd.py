@@ -1,8 +1,9 @@
 """A quality classifier by compression with two dictionaries.
 
 Two zstandard dictionaries are built from a bounded sample of good and of bad
-labelled texts (``sample`` rows of each, a documented parameter; half of each
-builds the dictionary, the other half calibrates). A document is cut into pieces
+labelled texts (``sample`` documents of each, and of a longer text ``TEXT_PIECES``
+pieces at even distances: documented parameters; half of each builds the
+dictionary, the other half calibrates). A document is cut into pieces
 of ``piece`` bytes, all of which are compressed with either dictionary. The
 difference of the total sizes by their sum is the document's margin; a logistic
 curve, fitted on the calibration half with the classes weighted as they occur
@@ -11,7 +12,10 @@ among the labels, turns it into the probability of label 1.
 Special cases: null and empty texts have margin zero and the score of that;
 without labels of both classes the score is the share of label 1, or 0.5 with
 none; labels other than 0 and 1 are left out, a document with both is learned
-with both; repeated rows get a row each; an empty table gives an empty result.
+with both; texts of any length are scored whole; a score of exactly 0.5 predicts
+1; rows of equal id are learned once, by the least text, and get a row each; a null
+id is held out; an empty table gives an empty result; extra columns, whatever
+their names, are not carried.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from .blocks import lean
 
 SAMPLE = 1500
 PIECE = 256
+TEXT_PIECES = 64
 DICTIONARY = 112_640
 LEVEL = 3
 
@@ -55,8 +60,8 @@ class Margin:
         return (b - g) / (b + g) if parts else 0.0
 
 
-def dictionary(texts: list[str]) -> bytes:
-    parts = [p for t in texts for p in pieces(t.encode())]
+def dictionary(texts: list[bytes]) -> bytes:
+    parts = [p for t in texts for p in pieces(t)]
     size = min(DICTIONARY, max(256, sum(map(len, parts)) // 8))
     try:
         return zstandard.train_dictionary(size, parts).as_bytes()
@@ -79,7 +84,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60)
     return float(beta[0] / scale), float(beta[1])
 
 
-def fit(rows: list[tuple[int, str]], counts: dict[int, int]) -> tuple[bytes, bytes, float, float] | float:
+def fit(rows: list[tuple[int, bytes]], counts: dict[int, int]) -> tuple[bytes, bytes, float, float] | float:
     """Dictionaries, slope and offset; or a constant score."""
     by = {c: [t for q, t in rows if q == c] for c in (0, 1)}
     if min(map(len, by.values())) < 2:
@@ -87,7 +92,7 @@ def fit(rows: list[tuple[int, str]], counts: dict[int, int]) -> tuple[bytes, byt
         return counts.get(1, 0) / total if total else 0.5
     good, bad = (dictionary(by[c][::2]) for c in (1, 0))
     margin = Margin(good, bad)
-    x = np.array([margin((t or "").encode()) for c in (0, 1) for t in by[c][1::2]])
+    x = np.array([margin(t) for c in (0, 1) for t in by[c][1::2]])
     y = np.repeat([0.0, 1.0], [len(by[0][1::2]), len(by[1][1::2])])
     weight = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum()) / sum(counts.values()) * len(y)
     return good, bad, *logistic(x, y, weight)
@@ -102,9 +107,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     spark = docs.sparkSession
     wanted = spark.createDataFrame(chosen, "y int, id long") if chosen else spark.createDataFrame([], "y int, id long")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    found = texts.join(F.broadcast(wanted), "id").groupBy("y", "id").agg(F.min("text").alias("text")).collect()
+    found = samples.pieces(texts.join(F.broadcast(wanted), "id"), PIECE, TEXT_PIECES).groupBy("y", "id").agg(F.min("raw").alias("raw")).collect()
     found.sort(key=lambda r: (r["y"], r["id"]))
-    shared = spark.sparkContext.broadcast(fit([(r["y"], r.text) for r in found], counts))
+    shared = spark.sparkContext.broadcast(fit([(r["y"], bytes(r.raw)) for r in found], counts))
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

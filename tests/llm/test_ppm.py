@@ -11,50 +11,20 @@ from fraglens.llm import ppm
 
 
 def test_probabilities_sum_to_one():
+    """After a context seen, one seen only at lower orders, and over all 256 symbols."""
     rnd = np.random.RandomState(0)
-    codes5 = np.unique(rnd.randint(0, 64**5, 4000)).astype(np.uint32)
-    codes5 = np.unique(np.concatenate((codes5, (codes5 & ~np.uint32(63)) | np.uint32(7))))
-    counts5 = rnd.randint(1, 50, len(codes5))
-    codes4, where = np.unique(codes5 & (64**4 - 1), return_inverse=True)
-    m = ppm.Model(np.arange(256), codes4, np.bincount(where, counts5).astype(np.int64), codes5, counts5)
-    assert np.allclose((10.0 ** m.order4.astype(float)).sum(1), 1, atol=1e-4)
-    assert np.allclose((10.0 ** m.order3.astype(float)).sum(1), 1, atol=1e-4)
-
-
-def brute_probability(counts, context, symbol):
-    """Escapes and exclusions by definition; counts[k]: Counter of (context of k symbols, symbol)."""
-    p, excluded = 1.0, set()
-    for k in range(len(context), -1, -1):
-        c = context[len(context) - k :]
-        here = {s: n for (x, s), n in counts[k].items() if x == c and s not in excluded}
-        if not here:
-            continue
-        total, kinds = sum(here.values()), len(here)
-        size = total if len(excluded) + kinds == 64 else total + kinds
-        if symbol in here:
-            return p * here[symbol] / size
-        p *= kinds / size
-        excluded |= set(here)
-    return p / (64 - len(excluded))
-
-
-def test_against_brute_force():
-    rnd = random.Random(3)
-    seq = [rnd.choice([1, 2, 3, 5]) if rnd.random() < 0.8 else rnd.randint(0, 9) for _ in range(600)]
-    counts = [Counter() for _ in range(5)]
-    for i in range(4, len(seq)):
-        for k in range(5):
-            counts[k][tuple(seq[i - k : i]), seq[i]] += 1
-    code = lambda t: sum(s << (6 * (len(t) - 1 - i)) for i, s in enumerate(t))
-    five = {code((*c, s)): n for (c, s), n in counts[4].items()}
-    four = {code((*c, s)): n for (c, s), n in counts[3].items()}
-    arrays = [np.array(list(x), t) for d in (four, five) for x, t in ((d.keys(), np.uint32), (d.values(), np.int64))]
-    m = ppm.Model(np.zeros(256, np.int64), *arrays)
-    for _ in range(300):
-        i = rnd.randint(4, len(seq) - 1)
-        context, symbol = tuple(seq[i - 4 : i]), rnd.randint(0, 63)
-        got = m.order4[m.node[code(context)] - 1, symbol]
-        assert math.isclose(got, math.log10(brute_probability(counts, context, symbol)), abs_tol=1e-3)
+    text = rnd.choice([65, 66, 67, 200], 3000).astype(np.uint64)
+    five = sum(text[k : len(text) - 4 + k] << np.uint64(8 * (4 - k)) for k in range(5))
+    seen, counts = np.unique(five, return_counts=True)
+    three, n3 = np.unique(five & np.uint64(0xFFFFFF), return_counts=True)
+    low = ppm.Low(three.astype(np.uint32), n3)
+    for context in (seen[0] >> np.uint64(8), np.uint64(0x01414141)):
+        tail = np.uint64(0xFFFFFF) & context
+        near = seen[(seen >> np.uint64(8)) & np.uint64(0xFFFFFF) == tail]
+        asked = np.unique(np.concatenate((near, (context << np.uint64(8)) | np.arange(256, dtype=np.uint64))))
+        of = dict(zip(seen.tolist(), counts.tolist()))
+        logs = ppm.log_probabilities(asked, np.array([of.get(c, 0) for c in asked.tolist()]), low)
+        assert math.isclose((10.0 ** logs[asked >> np.uint64(8) == context].astype(float)).sum(), 1, abs_tol=1e-4)
 
 
 def test_base_and_rows(spark):
@@ -108,3 +78,12 @@ def test_scores_of_all_contexts(spark):
         s = [255] * 4 + [*t.encode(), 255]
         want = sum(log_p(tuple(s[i - 4 : i]), s[i]) for i in range(4, len(s)))
         assert math.isclose(got[d].score, want, rel_tol=1e-5, abs_tol=1e-4), d
+
+
+def test_long_repeated_and_clashing(spark):
+    long = "the of and über " * 40_000
+    rows = [(0, long, "x", 1), (0, long, "x", 1), (1, "the of", "y", 2), (2, "über", "z", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string, kind int").selectExpr("*", "1 as id", "2 as block_id", "3 as held_out")
+    got = sorted(ppm.ppm_scores(df).collect(), key=lambda r: r.doc_id)
+    assert got[0] == got[1] and got[0].n_tokens == 160_001 and got[0].score > -10_000
+    assert [r.n_tokens for r in got[2:]] == [3, 2]
