@@ -59,3 +59,19 @@ def test_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(docs, none).first().contaminated is False
     assert decontaminate(docs.limit(0), none).collect() == []
+
+
+def test_long_texts_cut_items_and_clashing_columns(spark):
+    """An item of several pieces, and a document of some hundred thousand words that holds all of it in the middle."""
+    rnd = random.Random(6)
+    item = " ".join(f"w{rnd.randint(0, 50)}" for _ in range(900))
+    filler = " ".join(f"v{k}" for k in range(150_000))
+    docs = [(1, f"{filler} {item} {filler}", "a", 1), (1, f"{filler} {item} {filler}", "a", 1), (2, filler, "b", 2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, items string, block_id int").selectExpr("*", "1 as n_words", "2 as item_id")
+    bench = spark.createDataFrame([(7, item, 1), (8, "v5 v6 v7", 2)], "item_id long, text string, doc_id int")
+    for piece in (1 << 20, 700):
+        got = sorted(decontaminate(df, bench, piece=piece).collect(), key=lambda r: r.doc_id)
+        assert got[0] == got[1] and got[0]["items"] == ["7", "8"] and got[0].n_hit == 906 and got[0].n_words == 300_900
+        assert [tuple(m) for m in got[0].matches if m.item == "7"] == [("7", 0, 150_000, 900)]
+        assert got[2]["items"] == ["8"] and got[2].n_hit == 3
+    assert [r.n_items for r in decontaminate(df, bench, least=4).orderBy("doc_id").collect()] == [1, 1, 0]
