@@ -5,22 +5,27 @@ Every document is cut into non-overlapping reference blocks of ``anchor`` words
 contains a whole block). The blocks' fingerprints form the index, which is dealt
 out over hash buckets; every rolling run of ``anchor`` words of every document
 probes it. A hit whose run occurs in at least two documents is an anchor shared
-by documents, and is extended word by word to the windows around it: these meet
-in a second exchange, which tells for each window whether its word sequence also
-starts in a document with a smaller id. The union of such windows is the maximal
-repeats, which are removed; the first document keeps its copy.
-
-Fingerprints have 64 bits (48 for probes, where a clash only adds a candidate),
-so that among 10**9 candidate windows a false match is expected with probability
-3 % in all. Anchors of a passage that thousands of documents share are one entry
-per block of documents and bucket, so no pairs are ever listed and no key is hot.
+by documents. It is extended to both sides as far as ``window`` words reach, and
+the windows around it meet in a second exchange, which tells for each whether its
+word sequence also starts in a document with a smaller id. Windows that do so and
+overlap make up one maximal repeat; these are removed (``spans``), and the first
+document keeps its copy. Comparing windows by what they contain, and not hits by
+pairs, keeps a passage that thousands of documents share to one entry per block of
+documents and bucket: no pairs are ever listed and no key is hot.
+
+Word sequences are compared by fingerprints: 48 bits for probes, where a clash
+only adds a candidate, and two independent ones of 64 and 32 bits for windows, so
+that among 10**13 different windows a false match is expected with probability
+10**-3 in all. The words of windows have fingerprints of 64 bits.
 
 Results in special cases: null and empty texts have no words and stay as they
 are; rows with a null id neither lose words nor serve as an earlier document;
 rows with equal ids are one document for "smaller" (none is smaller than the
-other); documents with under ``window`` words keep all; an empty table gives an
-empty result. Extra columns are not carried. Memory: some times the largest of
-a block (8 MB of text) and the longest single document.
+other), so that repeated rows lose the same words; documents with under ``window``
+words keep all; texts of any length are one document of one block; an empty table
+gives an empty result. Extra columns, whatever their names, are kept if named in
+``carry``. Memory: some times the largest of a block (6 MB of text) and the longest
+single document.
 """
 
 from __future__ import annotations
@@ -98,8 +103,19 @@ def _hit_keys(distinct: np.ndarray, answers: list[dict], n: int) -> np.ndarray:
     return hit
 
 
+def _pairs(key: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct key, its extra, number of each entry) of pairs, sorted by both."""
+    order = np.lexsort((extra, key))
+    k, e = key[order], extra[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (e[1:] != e[:-1])
+    number = np.empty(len(k), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return k[new], e[new], number
+
+
 def _candidates(block: B.Block, answers: list[dict], window: int, n: int):
-    """Windows around shared anchors: positions, fingerprints sorted and distinct, number of each."""
+    """Windows around shared anchors: positions, fingerprints sorted and distinct, number of each, least id of each."""
     anchor = (window + 1) // 2
     w, h, at, distinct, number, _ = _probes(block, anchor)
     hit = _hit_keys(distinct, [x for x in answers if x["phase"] == 1], n)
@@ -110,27 +126,25 @@ def _candidates(block: B.Block, answers: list[dict], window: int, n: int):
     # The window from i on holds the anchors from i to i + window - anchor.
     fits = fits[(marked[fits + window - anchor + 1] > marked[fits]) & ~block.id_nulls[w.doc[fits]]]
     keys = T.window_hashes(h, window)[fits] if len(fits) else np.zeros(0, np.uint64)
-    distinct, number = np.unique(keys, return_inverse=True)
+    again = T.window_hashes(T.mix(h ^ np.uint64(T.BYTE_BASE)), window)[fits] if len(fits) else keys
+    distinct, extra, number = _pairs(keys, (again >> np.uint64(32)).astype(np.uint32))
     least = np.full(len(distinct), np.iinfo(np.int64).max)
     np.minimum.at(least, number, block.id[w.doc[fits]])
-    return w, fits, distinct, number, least
+    return w, fits, distinct, extra, number, least
 
 
-_WINDOWS = "bucket int, block_id long, n int, keys binary, ids binary"
+_WINDOWS = "bucket int, block_id long, n int, keys binary, extra binary, ids binary"
 _ANSWERS = "block_id long, phase int, bucket int, n int, hits binary"
 
 
 def _earlier(got: dict[str, list]):
     """For each request, which of its windows start in a document before all of the request's own."""
     sizes = np.array(got["n"])
-    keys = np.concatenate([B.expand_sorted(x) for x in got["keys"]])
     ids = np.concatenate([B.expand(x, np.int64) for x in got["ids"]])
-    order = np.argsort(keys)
-    head = np.flatnonzero(np.diff(keys[order], prepend=keys[order[0]] ^ np.uint64(1)))
-    first = np.minimum.reduceat(ids[order], head)
-    back = np.empty(len(keys), np.int64)
-    back[order] = np.repeat(first, np.diff(np.append(head, len(keys))))
-    less = back < ids
+    distinct, _, number = _pairs(np.concatenate([B.expand_sorted(x) for x in got["keys"]]), np.concatenate([B.expand(x, np.uint32) for x in got["extra"]]))
+    first = np.full(len(distinct), np.iinfo(np.int64).max)
+    np.minimum.at(first, number, ids)
+    less = first[number] < ids
     at = 0
     for block_id, n, bucket in zip(got["block_id"], sizes.tolist(), got["bucket"], strict=True):
         if less[at : at + n].any():
@@ -150,8 +164,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchors = B.cut(B.by_bucket(probes, _shared, _ANSWERS))
 
     def extend(block: B.Block, answers: list[dict]) -> pa.Table:
-        _, _, distinct, _, least = _candidates(block, answers, window, n)
-        rows = [{"bucket": b, "block_id": block.block_id, "n": s.stop - s.start, "keys": B.squeeze_sorted(distinct[s]), "ids": B.squeeze(least[s])} for b, s in B.split_sorted(distinct, n)]
+        _, _, distinct, extra, _, least = _candidates(block, answers, window, n)
+        rows = [{"bucket": b, "block_id": block.block_id, "n": s.stop - s.start, "keys": B.squeeze_sorted(distinct[s]), "extra": B.squeeze(extra[s]), "ids": B.squeeze(least[s])} for b, s in B.split_sorted(distinct, n)]
         return pa.Table.from_pylist(rows, B.arrow_schema(_WINDOWS))
 
     windows = B.with_answers(blocks, anchors, extend, _WINDOWS)
@@ -161,7 +175,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         schema.add(f"c{i}", docs.schema[c].dataType)
 
     def cut_out(block: B.Block, answers: list[dict]) -> pa.Table:
-        w, at, distinct, number, least = _candidates(block, answers, window, n)
+        w, at, distinct, _, number, least = _candidates(block, answers, window, n)
         hit = _hit_keys(distinct, [x for x in answers if x["phase"] == 2], n)
         again = hit[number] | (least[number] < block.id[w.doc[at]])
         gone = T.covered(len(w), at[again], window)

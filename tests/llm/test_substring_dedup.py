@@ -64,3 +64,13 @@ def test_layout_keeps_words_and_nulls(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, spans string")
     assert substring_dedup(df).collect() == []
+
+
+def test_long_text_and_clashing_columns(spark):
+    """A text of some hundred thousand words, half of it again in a later document; columns named like the operator's own."""
+    words = [f"w{k}" for k in range(200_000)]
+    rows = [(1, " ".join(words), "a", 1), (2, " ".join(words[100_000:] + ["end"]), "b", 2), (2, " ".join(words[100_000:] + ["end"]), "c", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_words int").selectExpr("*", "1 as block_id", "2 as c0").withColumnRenamed("spans", "kept")
+    got = sorted(substring_dedup(df, layout=False, carry=("kept", "c0")).collect(), key=lambda r: (r.doc_id, r.kept))
+    assert [(r.n_words, r.n_removed, list(r.spans), r.kept, r.c0) for r in got] == [(200_000, 0, [], "a", 2), (100_001, 100_000, [0, 100_000], "b", 2), (100_001, 100_000, [0, 100_000], "c", 2)]
+    assert got[1].text == "end"
