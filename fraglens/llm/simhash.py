@@ -14,22 +14,29 @@ when stored, all pairs of near codewords when probing (24 bits). No link within
 four bits is missed.
 
 Equal fingerprints are one row before any key is made, so exact copies cost
-nothing. A bucket never lists pairs: it verifies distances itself and sends one
-link from each fingerprint to the smallest of its component in the bucket. Small
-buckets compare all with all; larger ones meet at every fingerprint within two
-bits (two words within four bits have such a midpoint), which is in proportion to
-their size. The links' components are found in Spark tables.
+nothing. A bucket never lists pairs: it compares all with all, and sends one link
+from each fingerprint to the smallest of its component in the bucket. Buckets come
+out of a sort one after another, so that a task holds one of at most ``SMALL``
+fingerprints at a time. The fingerprints of larger ones are keyed again, finer: 4 of
+8 segments that must be without error (32 bits), then 8 of 12 (42 bits), and at last
+all points within two bits, one of which two words within four bits share, and each
+of which no more than 2,081 words are near. So a hot bucket is dealt out over many
+tasks, and no link is lost. The links' components are found in Spark tables.
 
 Special cases: null and empty texts have fingerprint zero and link like others;
-fewer words than a shingle are one shingle; a null id takes part with its
+fewer words than a shingle are one shingle; texts of any length are read whole; a
+bit that is set in just half the shingles is 0; a null id takes part with its
 fingerprint, and its own smallest id counts only where no other is there; repeated
-rows get a row each; an empty table gives an empty result.
+rows get a row each; an empty table gives an empty result; extra columns, whatever
+their names, are not carried.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +51,9 @@ from .components import connected_components
 RADIUS = 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 SLICE_BYTES = 2 << 20
-#: Buckets up to this size compare all with all.
+#: Buckets up to this size compare all with all, larger ones are keyed finer: so many segments, of which so many are without error.
 SMALL = 4096
+FINER = ((8, 4), (12, 8))
 GENERATOR = 0b101011100011  # of the cyclic Golay code
 
 
@@ -174,111 +182,130 @@ def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([k for k, _, _ in out]), np.concatenate([r for _, r, _ in out]), np.concatenate([np.full(len(k), role, np.int8) for k, _, role in out])
 
 
-# -- buckets ----------------------------------------------------------------
-
-
-class _Sets:
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return int(i)
+def finer_keys(fp: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, index into fp): two words within RADIUS bits have a key in common; past the last level, that is a point within two bits of both."""
+    if level >= len(FINER):
+        points = fp[:, None] ^ np.concatenate([_masks(64, w) for w in range(RADIUS // 2 + 1)])
+        return points.reshape(-1), np.repeat(np.arange(len(fp)), points.shape[1])
+    n, same = FINER[level]
+    cuts = [64 * i // n for i in range(n + 1)]
+    out = []
+    for tag, chosen in enumerate(combinations(range(n), same)):
+        mask = sum((1 << cuts[i + 1]) - (1 << cuts[i]) for i in chosen)
+        out.append(T.mix((fp & np.uint64(mask)) ^ T.mix(np.array([tag + 1], np.uint64))))
+    return np.concatenate(out), np.tile(np.arange(len(fp)), len(out))
 
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            x, y = self.find(x), self.find(y)
-            if x != y:
-                self.up[max(x, y)] = min(x, y)
 
-    def roots(self) -> np.ndarray:
-        up = self.up
-        while (up[up] != up).any():
-            up = up[up]
-        return up
+# -- buckets ----------------------------------------------------------------
 
 
 def bucket_links(fp: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For sorted distinct fingerprints, the number of the smallest one that each is linked to, directly or not."""
-    n, sets = len(fp), _Sets(len(fp))
-    if n <= SMALL:
-        for i in range(n - 1):
-            other = np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= radius) + i + 1
-            if len(other):
-                sets.link(np.full(len(other), i), other)
-        return sets.roots()
-    flips = np.concatenate([_masks(64, w) for w in range(radius // 2 + 1)])
-    passes = -(-n * len(flips) // (1 << 22))
-    for k in range(passes):
-        points, rows = [], []
-        for at in range(0, n, 1 << 11):
-            mid = fp[at : at + (1 << 11), None] ^ flips
-            got = T.mix(mid) % np.uint64(passes) == k
-            points.append(mid[got])
-            rows.append(np.nonzero(got)[0] + at)
-        point, row = np.concatenate(points), np.concatenate(rows)
-        order = np.argsort(point)
-        point, row = point[order], row[order]
-        same = np.flatnonzero(point[1:] == point[:-1])
-        up = sets.roots()
-        a, b = up[row[same]], up[row[same + 1]]
-        pairs = np.unique(np.stack((a, b))[:, a != b], axis=1)
-        sets.link(*pairs)
-    return sets.roots()
-
-
-def _bucket_rows(key: np.ndarray, fp: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, smallest of its component in the bucket) of many buckets."""
-    order = np.lexsort((fp, key))
-    key, fp, role = key[order], fp[order], role[order]
-    new = np.diff(key, prepend=~key[:1]) != 0
-    head = np.flatnonzero(new)
-    size = np.diff(np.append(head, len(key)))
-    # A bucket of probes alone has nothing stored; its fingerprints meet elsewhere if they are near.
-    stored = np.maximum.reduceat(role != 1, head)
-    a, b = [], []
-    two = head[(size == 2) & stored]
-    near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= RADIUS]
-    a.append(fp[near])
-    b.append(fp[near + 1])
-    for h, n in zip(head[(size > 2) & stored].tolist(), size[(size > 2) & stored].tolist(), strict=True):
-        x = np.unique(fp[h : h + n])
-        if len(x) > 1:
-            root = bucket_links(x)
-            moved = root != np.arange(len(x))
-            a.append(x[root[moved]])
-            b.append(x[moved])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def near_links(fps: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints that join all within RADIUS bits into the same components."""
+    root = np.arange(len(fp))
+    for i in range(len(fp) - 1):
+        near = np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= radius) + i + 1
+        far = near[root[near] != root[i]]
+        if len(far):
+            joined = np.unique(np.append(root[far], root[i]))
+            root[np.isin(root, joined)] = joined[0]
+    return root
+
+
+class _Links:
+    """Links (fingerprint, smallest of its component in the bucket) of sorted buckets; of buckets that are too large, the fingerprints."""
+
+    def __init__(self, most: int | None):
+        self.most, self.hot_key = most, None
+        self.held: tuple[np.ndarray, ...] | None = None
+
+    def take(self, key: np.ndarray, fp: np.ndarray, role: np.ndarray, last: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, hot) of all buckets that are over."""
+        if self.held is not None:
+            key, fp, role = (np.concatenate(x) for x in zip(self.held, (key, fp, role), strict=True))
+        end = len(key) if last or not len(key) else int(np.searchsorted(key, key[-1], "left"))
+        hot = [fp[:0]]
+        if self.most is not None and self.hot_key is not None and len(key):
+            more = int(np.searchsorted(key, np.uint64(self.hot_key), "right"))
+            hot.append(fp[:more])
+            key, fp, role, end = key[more:], fp[more:], role[more:], max(end - more, 0)
+            if len(key):
+                self.hot_key = None
+        a, b, large = self._links(key[:end], fp[:end], role[:end])
+        hot.append(large)
+        key, fp, role = key[end:], fp[end:], role[end:]
+        if self.most is not None and len(key) > 4 * self.most:
+            # The bucket goes on; a fingerprint may be in it up to three times.
+            self.hot_key = int(key[0])
+            hot.append(fp)
+            key, fp, role = key[:0], fp[:0], role[:0]
+        self.held = key, fp, role
+        return a, b, np.unique(np.concatenate(hot))
+
+    def _links(self, key: np.ndarray, fp: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not len(key):
+            return fp, fp, fp
+        head = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        size = np.diff(np.append(head, len(key)))
+        # A bucket of probes alone has nothing stored; its fingerprints meet elsewhere if they are near.
+        stored = np.maximum.reduceat(role != 1, head)
+        two = head[(size == 2) & stored]
+        near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= RADIUS]
+        a, b, hot = [fp[near]], [fp[near + 1]], [fp[:0]]
+        for h, n in zip(head[(size > 2) & stored].tolist(), size[(size > 2) & stored].tolist(), strict=True):
+            x = np.unique(fp[h : h + n])
+            if self.most is not None and len(x) > self.most:
+                hot.append(x)
+            elif len(x) > 1:
+                root = bucket_links(x)
+                moved = root != np.arange(len(x))
+                a.append(x[root[moved]])
+                b.append(x[moved])
+        return np.concatenate(a), np.concatenate(b), np.concatenate(hot)
+
+
+def _level(fps: DataFrame, n: int, level: int) -> DataFrame:
+    """(a, b): links of one level of keys, -1 the Golay code's; b is null for a fingerprint of a bucket that is too large."""
 
     @B.lean
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.asarray(batch.column("fp")).view(np.uint64)
-            for at in range(0, len(fp), 4096):
-                part = fp[at : at + 4096]
-                key, row, role = keys(part)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part[row].view(np.int64)), pa.array(role)], names=["key", "fp", "role"])
+            step = 4096 if level < 0 else 512
+            for at in range(0, len(fp), step):
+                part = fp[at : at + step]
+                key, row, *role = keys(part) if level < 0 else finer_keys(part, level)
+                role = role[0] if role else np.full(len(key), 2, np.int8)
+                yield pa.RecordBatch.from_arrays([pa.array((key ^ np.uint64(1 << 63)).view(np.int64)), pa.array(part[row].view(np.int64)), pa.array(role)], names=["key", "fp", "role"])
 
     @B.lean
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(np.asarray(b.column("key")).view(np.uint64), np.asarray(b.column("fp")).view(np.uint64), np.asarray(b.column("role"))) for b in batches if b.num_rows]
-        if got:
-            a, b = _bucket_rows(*(np.concatenate(x) for x in zip(*got, strict=True)))
+        links = _Links(SMALL if level < len(FINER) else None)
+        none = np.zeros(0, np.uint64)
+        for part in chain(((np.asarray(x.column("key")).view(np.uint64) ^ np.uint64(1 << 63), np.asarray(x.column("fp")).view(np.uint64), np.asarray(x.column("role"))) for x in batches), [None]):
+            a, b, hot = links.take(none, none, np.zeros(0, np.int8), True) if part is None else links.take(*part)
             pairs = np.unique(np.stack((a, b)), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0].view(np.int64)), pa.array(pairs[1].view(np.int64))], names=["a", "b"])
-
-    n = fps.count()
-    # About 150 keys of 17 bytes for each fingerprint, 1 million in a task.
-    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * 150 // 1_000_000 + 1)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0].view(np.int64)), pa.array(pairs[1].view(np.int64))], names=["a", "b"])
+            if len(hot):
+                yield pa.RecordBatch.from_arrays([pa.array(hot.view(np.int64)), pa.nulls(len(hot), pa.int64())], names=["a", "b"])
+
+    # Keys are rows of 17 bytes, 1 million in a task.
+    each = 150 if level < 0 else 2081 if level >= len(FINER) else comb(*FINER[level])
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * each // 1_000_000 + 1)
     spread = fps.repartition(max(1, min(parts, n // 1000 + 1)))
-    return spread.mapInArrow(expand, "key bigint, fp bigint, role tinyint").repartition(parts, "key").mapInArrow(verify, "a bigint, b bigint")
+    return spread.mapInArrow(expand, "key bigint, fp bigint, role tinyint").repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(verify, "a bigint, b bigint")
+
+
+def near_links(fps: DataFrame) -> DataFrame:
+    """(a, b): links between distinct fingerprints that join all within RADIUS bits into the same components."""
+    out, level = None, -1
+    while True:
+        got = B.cut(_level(fps, fps.count(), level))
+        links = got.filter("b is not null")
+        out = links if out is None else out.unionByName(links)
+        if not got.filter("b is null").limit(1).count():
+            return out
+        fps, level = B.cut(got.filter("b is null").select(F.col("a").alias("fp")).distinct()), level + 1
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
