@@ -21,7 +21,8 @@ Special cases: null and empty texts have no words and no matches; texts of any
 length are read whole; an item without words matches nothing; an item with under
 ``window`` words matches as a whole; equal items each match; null item ids count
 under the name "null"; repeated document rows get a row each; an empty benchmark or
-table gives no hits or rows. Extra columns, whatever their names, are not carried.
+table gives no hits or rows. Extra columns, whatever their names, are kept if named
+in ``carry``.
 """
 
 from __future__ import annotations
@@ -195,7 +196,6 @@ def found_in(w: T.Words, h: np.ndarray, n: int, query: Query, array: SuffixArray
 
 
 _MATCH = pa.struct([("item", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())])
-_NAMES = ["doc_id", "n_words", "n_hit", "n_items", "items", "matches", "contaminated"]
 _RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items array<string>, matches array<struct<item: string, item_word: bigint, doc_word: bigint, n_words: bigint>>, contaminated boolean"
 _PLACES = "block_id long, row long, items array<string>, item_of array<bigint>, item_word array<bigint>, doc_word array<bigint>, n_words array<bigint>"
 
@@ -208,13 +208,23 @@ def _columns(ids: pa.Array, w: T.Words, hit: np.ndarray, items: list[set], match
     ]
 
 
-def _one_pass(docs: DataFrame, query: Query, id_col: str, text_col: str) -> DataFrame:
+def _schema(docs: DataFrame, carry: tuple[str, ...]) -> T_.StructType:
+    out = T_.StructType.fromDDL(_RESULT)
+    for k, c in enumerate(carry):
+        out.add(f"c{k}", docs.schema[c].dataType)
+    return out
+
+
+def _one_pass(docs: DataFrame, query: Query, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    schema = _schema(docs, carry)
+    names, other = schema.names, [f"c{k}" for k in range(len(carry))]
     shared = docs.sparkSession.sparkContext.broadcast(query)
 
     def shard(part: pa.RecordBatch) -> pa.RecordBatch:
         w, h, _ = words_of(part.column("text"))
         array = SuffixArray(h, w.doc, shared.value.window)
-        return pa.RecordBatch.from_arrays(_columns(part.column("doc_id"), w, *found_in(w, h, part.num_rows, shared.value, array)), names=_NAMES)
+        own = _columns(part.column("doc_id"), w, *found_in(w, h, part.num_rows, shared.value, array))
+        return pa.RecordBatch.from_arrays([*own, *(part.column(c) for c in other)], names=names)
 
     @B.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,11 +232,14 @@ def _one_pass(docs: DataFrame, query: Query, id_col: str, text_col: str) -> Data
             for part in T.slices(batch, "text", SHARD_BYTES):
                 yield shard(part)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _RESULT)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(k) for c, k in zip(carry, other, strict=True)])
+    return rows.mapInArrow(run, schema)
 
 
-def _many_passes(docs: DataFrame, queries: Iterator[Query], id_col: str, text_col: str) -> DataFrame:
-    blocks = B.pack(docs, id_col, text_col)
+def _many_passes(docs: DataFrame, queries: Iterator[Query], id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    schema = _schema(docs, carry)
+    names = schema.names
+    blocks = B.pack(docs, id_col, text_col, carry)
     every = None
     for query in queries:
         shared = docs.sparkSession.sparkContext.broadcast(query)
@@ -257,13 +270,13 @@ def _many_passes(docs: DataFrame, queries: Iterator[Query], id_col: str, text_co
             for k, a, d, n in zip(r["item_of"], r["item_word"], r["doc_word"], r["n_words"], strict=True):
                 matches[r["row"]].append({"item": r["items"][k], "item_word": a, "doc_word": d, "n_words": n})
                 hit[w.first[r["row"]] + d : w.first[r["row"]] + d + n] = True
-        return pa.Table.from_arrays(_columns(pa.array(block.ids, pa.int64()), w, hit, items, matches), names=_NAMES)
+        return pa.Table.from_arrays([*_columns(pa.array(block.ids, pa.int64()), w, hit, items, matches), *(block.carried.columns if carry else ())], names=names)
 
-    return B.with_answers(blocks, every, combine, T_.StructType.fromDDL(_RESULT))
+    return B.with_answers(blocks, every, combine, schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, least: int = 1, piece: int = 4 << 20) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, matches, contaminated).
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, least: int = 1, piece: int = 4 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items, matches, contaminated) and the columns ``carry``.
 
     ``items`` are the ids, as sorted strings, of items with a window in the document; ``matches`` the longest verbatim
     matches, as item, first word in the item, first word in the document, number of words. Items of under ``least``
@@ -273,5 +286,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     first = next(queries, None) or Query([], window)
     second = next(queries, None)
     if second is None:
-        return _one_pass(docs, first, id_col, text_col)
-    return _many_passes(docs, chain((first, second), queries), id_col, text_col)
+        got = _one_pass(docs, first, id_col, text_col, carry)
+    else:
+        got = _many_passes(docs, chain((first, second), queries), id_col, text_col, carry)
+    return got.select(*T_.StructType.fromDDL(_RESULT).names, *[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)])

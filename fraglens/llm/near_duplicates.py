@@ -1,18 +1,25 @@
-"""Groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""SimHash near-duplicates held to a similarity: operator 10 for sets of five-word shingles and a Jaccard similarity of 0.8 or more.
 
 Words are told apart after ASCII lower-casing; a text of fewer words than a shingle
 is one shingle. Texts with equal sets are one row before anything is compared.
-Candidates have a band of five MinHash values in common; of 25 bands, a pair of
-similarity 0.8 shares none with probability 0.00005 (1 - (1 - 0.8**5)**25 is its
-recall), a pair of 0.85 with 0.000001. Connected candidates meet, and are linked
-only if the exact similarity of their whole sets reaches the threshold: a set is
-compared with all of its candidate group that are not yet in its component. A
-group beyond CHUNK sets is cut into chunks, and each pair of chunks is a task of
-its own. The links' components are found in Spark tables.
-
-Special cases: null and empty texts have the empty set and are alike; a null id
-takes part with its text, and counts as smallest id only where no other is there;
-an empty table gives an empty result.
+Candidates are pairs whose 64-bit SimHash fingerprints, of the distinct shingles,
+are linked by the Golay code's keys (see simhash.py). Two sets of similarity 0.8 are
+some ten bits apart, and Golay keys that bridge ten bits of 64 with certainty would
+be in the thousands for each text, so that the fingerprints alone find the closer
+pairs only (of those at 0.80, 0.85 and 0.90 about 8, 17 and 33 %). So pairs that have
+a band of five MinHash values in common are candidates too: of 25 bands, a pair of
+similarity 0.8 shares none with probability 0.00005 (1 - (1 - 0.8**5)**25 is the
+recall), one of 0.85 with 0.000001. Connected candidates meet, and are linked only
+if the exact similarity of their whole sets reaches the threshold: a set is compared
+with all of its candidate group that are not yet in its component. A group beyond
+CHUNK sets is cut into chunks, and each pair of chunks is a task of its own. The
+links' components are found in Spark tables.
+
+Special cases: null and empty texts have the empty set and are alike; texts of any
+length are compared whole; a similarity of just 0.8 is a link; a null id takes part
+with its text, and counts as smallest id only where no other is there; repeated rows
+get a row each; an empty table gives an empty result; extra columns, whatever their
+names, are not carried.
 """
 
 from __future__ import annotations
@@ -21,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import text as T
 from .components import connected_components
+from .simhash import near_links
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
@@ -87,6 +95,21 @@ def band_keys(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def set_fingerprints(value: np.ndarray, bounds: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """64-bit SimHash of each set: a bit is 1 if set in over half the values."""
+    size = np.diff(bounds)
+    sums = np.zeros((len(size), 64), np.int64)
+    for at in range(0, len(value), step):
+        bit = np.unpackbits(value[at : at + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        lo = int(np.searchsorted(bounds, at, "right")) - 1
+        hi = int(np.searchsorted(bounds, at + len(bit), "left"))
+        cuts = np.clip(bounds[lo:hi] - at, 0, len(bit))
+        live = np.flatnonzero(np.diff(np.append(cuts, len(bit))))
+        sums[lo + live] += np.add.reduceat(bit, cuts[live], axis=0, dtype=np.int32)
+    packed = np.packbits(2 * sums > size[:, None], axis=1, bitorder="little")
+    return packed.reshape(-1).view(np.int64) if len(packed) else np.zeros(0, np.int64)
+
+
 def verified_links(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """For each set, the number of the first one that it is linked to, directly or not, by pairs of the least similarity."""
     n, size = len(bounds) - 1, np.diff(bounds)
@@ -108,9 +131,14 @@ def verified_links(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return root
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id): all documents, with the smallest id reachable over pairs of the least similarity."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def content_of(text: str) -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, content, sid) of all rows and (sid, root, least) of all sets."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), content_of(text_col).alias("content"))
 
     def mapped(with_text: bool):
         @B.lean
@@ -124,15 +152,20 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         yield pa.RecordBatch.from_arrays([sid, part.column("text")], names=["sid", "text"])
                     else:
                         keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sid) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(value, bounds).reshape(-1)))
-                        yield pa.RecordBatch.from_arrays([part.column("doc_id"), sid, keys], names=["doc_id", "sid", "keys"])
+                        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("content"), sid, pa.array(set_fingerprints(value, bounds)), keys], names=["doc_id", "content", "sid", "fp", "keys"])
 
         return run
 
-    table = B.cut(rows.mapInArrow(mapped(False), "doc_id bigint, sid bigint, keys array<bigint>"))
-    distinct = B.cut(table.groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")))
+    table = B.cut(rows.mapInArrow(mapped(False), "doc_id bigint, content bigint, sid bigint, fp bigint, keys array<bigint>"))
+    distinct = B.cut(table.groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     bands = distinct.select("sid", F.explode("keys").alias("key"))
     heads = bands.groupBy("key").agg(F.min("sid").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    candidates = connected_components(bands.join(heads, "key").filter("a < sid").select("a", F.col("sid").alias("b")))
+    banded = bands.join(heads, "key").filter("a < sid").select("a", F.col("sid").alias("b"))
+    # Sets of one fingerprint are linked to the first, and the first of linked fingerprints.
+    one = B.cut(distinct.groupBy("fp").agg(F.min("sid").alias("a")))
+    alike = distinct.join(one, "fp").filter("a < sid").select("a", F.col("sid").alias("b"))
+    close = near_links(one.select("fp")).withColumnsRenamed({"a": "x", "b": "y"}).join(one.withColumnRenamed("fp", "x"), "x").join(one.select(F.col("fp").alias("y"), F.col("a").alias("b")), "y").select("a", "b")
+    candidates = connected_components(banded.unionByName(alike).unionByName(close))
     member = B.cut(candidates.select(F.col("node").alias("sid"), F.col("root").alias("part")))
     chunks = member.groupBy("part").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k"))
     texts = rows.mapInArrow(mapped(True), "sid bigint, text string").join(member.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.first("text").alias("text"))
@@ -151,5 +184,27 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     linked = connected_components(placed.groupBy("part", "i", "j").applyInArrow(verify, "a bigint, b bigint"))
     roots = distinct.select("sid", "least").join(linked.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "least")
+    return table.select("doc_id", "content", "sid"), roots
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id): all documents, with the smallest id reachable over pairs of the least similarity."""
+    table, roots = _grouped(docs, id_col, text_col)
     label = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     return table.select("doc_id", "sid").join(roots.join(label, "root").select("sid", "component_id"), "sid", "left").select("doc_id", "component_id")
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with one row for each group: that with the least id (none comes last), of rows of that id one text, of repeated rows one."""
+    table, roots = _grouped(docs, id_col, text_col)
+    every = table.join(roots.select("sid", "root"), "sid")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("f")
+    firsts = B.cut(every.groupBy("root").agg(first, F.count("*").alias("n")).select(F.col("f.doc_id").alias("id_"), F.col("f.content").alias("content_"), "n"))
+    named = docs.withColumn("content_", content_of(text_col))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("id_")) & (named["content_"] == firsts["content_"])
+    kept = named.join(firsts, same, "left_semi")
+    # Rows that are repeated word for word all match; they are made one only where there are any.
+    again = table.groupBy("doc_id", "content").count().filter("count > 1")
+    if again.limit(1).count():
+        kept = kept.dropDuplicates([id_col, "content_"])
+    return kept.select(*docs.columns)

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from fraglens.llm.decontaminate import decontaminate
 
 
@@ -74,4 +76,7 @@ def test_long_texts_cut_items_and_clashing_columns(spark):
         assert got[0] == got[1] and got[0]["items"] == ["7", "8"] and got[0].n_hit == 906 and got[0].n_words == 300_900
         assert [tuple(m) for m in got[0].matches if m.item == "7"] == [("7", 0, 150_000, 900)]
         assert got[2]["items"] == ["8"] and got[2].n_hit == 3
+    for piece in (1 << 20, 700):
+        carried = decontaminate(df, bench, piece=piece, carry=("text", "block_id", "item_id")).select("doc_id", "text", "block_id", F.col("n_hit")).collect()
+        assert {r.text for r in carried if r.n_hit == 3} == {filler}
     assert [r.n_items for r in decontaminate(df, bench, least=4).orderBy("doc_id").collect()] == [1, 1, 0]

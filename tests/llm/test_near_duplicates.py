@@ -65,3 +65,26 @@ def test_stage_keeps_one_of_pairs_of_eight_tenths(spark):
 
 def test_empty(spark):
     assert N.near_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_first_of_groups_on_odd_rows(spark):
+    """Repeated rows, one id with two texts, rows without an id, long texts and clashing columns."""
+    long = " ".join(f"w{k}" for k in range(50_000))
+    rows = [(1, "a b c d e f g", "x"), (1, "a b c d e f g", "x"), (1, "quite another text of seven words", "y"), (None, "a b c d e f g", "z"), (None, "no id has this one", "z"), (None, None, "n"), (5, "", "n"), (6, long, "l"), (7, long + " end", "l")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, root string").selectExpr("*", "1 as sid", "2 as content", "3 as fp")
+    got = N.first_of_groups(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, rows[0][1]), (1, rows[2][1]), (None, rows[4][1]), (5, ""), (6, long)], key=str)
+
+
+def test_half_set_bits_and_sums_over_slices():
+    import numpy as np
+
+    rnd = np.random.RandomState(0)
+    value = rnd.randint(0, 2**63, 1000).astype(np.uint64)
+    bounds = np.array([0, 0, 1, 400, 402, 1000])
+    want = []
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        want.append(sum(1 << b for b in range(64) if 2 * sum(int(v) >> b & 1 for v in value[lo:hi]) > hi - lo))
+    for step in (1 << 16, 7):
+        assert [int(x) % 2**64 for x in N.set_fingerprints(value, bounds, step)] == want
