@@ -2,7 +2,13 @@
 
 Each stage gets what its predecessor kept and returns the columns of documents,
 but for the last, which returns encodings. Rows of stages are written and read
-again between them.
+again between them; a stage's rows are deleted when the next one's are there.
+
+Special cases, for all stages: a null text is no language and goes with the first
+stage, as does an empty one; a later stage that is given any keeps them; texts of any
+length are read whole; every row is judged by itself, whatever rows share its id or
+have none; repeated rows are near-duplicates of each other; an empty table stays one;
+other columns than those of documents are not carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,8 +25,6 @@ from fraglens.llm.queries import tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if no language is seen in it (no letters, null) or the best one has under this probability.
 LEAST_LANGUAGE_SCORE = 0.3
-#: Benchmark items of fewer words occur by chance in clean prose, so only longer ones count here.
-LEAST_ITEM_WORDS = 8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +34,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (Jaccard similarity of five-word shingles 0.8 or more): that with the smallest id (of repeated rows any one; rows without an id stay)."""
-    groups = near_duplicates.near_components(docs.select("doc_id", "text"))
-    firsts = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi")
-    doubled = docs.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if doubled.filter("doc_id is not null").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
+    """One document of each group of near-duplicates (Jaccard similarity of five-word shingles 0.8 or more): that with the smallest id; a row without an id only where no other is there."""
+    return near_duplicates.first_of_groups(docs).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +46,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a verbatim run of ten words of a benchmark item."""
+    """Documents without a verbatim run of ten words of a benchmark item, or the whole of a shorter one."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    got = decontaminate.decontaminate(docs, benchmark, least=LEAST_ITEM_WORDS)
-    hit = got.filter("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti").select(*COLUMNS)
+    got = decontaminate.decontaminate(docs, benchmark, carry=("text", "lang", "source", "n_chars"))
+    return got.filter(~F.col("contaminated")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,6 +63,11 @@ STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("substring_
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder; between them rows are written to the shared checkpoint folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -76,6 +78,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{base}/{name}")
             docs = spark.read.parquet(f"{base}/{name}")
+            if k:
+                _delete(spark, f"{base}/{STAGES[k - 1][0]}")
     return docs
 
 
