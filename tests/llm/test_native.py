@@ -3,6 +3,9 @@
 import re
 from collections import Counter, defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from fraglens.llm import line_quality as Q
 from fraglens.llm import url_filter as U
 
@@ -82,3 +85,25 @@ def test_urls_of_any_length_with_clashing_columns(spark):
     long = "http://net/" + "a/" * 200_000 + "login"
     df = spark.createDataFrame([(1, long, "x", "y"), (2, long[:-1], "x", "y")], "page_id long, url string, pattern string, host string").selectExpr("*", "'z' as verdict", "1 as token", "2 as low")
     assert sorted((r.page_id, r.host, r.verdict) for r in U.filter_urls(df).collect()) == [(1, "net", "block"), (2, "net", "allow")]
+
+
+def test_literal_tokens(spark):
+    cases = {
+        r"[/.]cheap-pills\.": ["cheap", "pills"], r"^[a-z]+://[^/?#]*\bcasino\b": ["casino"], r"[/.]xxx[/.]": ["xxx"], "casino": [], "/casino": [], "/casino/": ["casino"], r"[?&]affiliate[_-]id=": ["affiliate", "id"], "/[!-~]x/": [], r"/login([/?.]|$)": [],
+        r"\.exe$": ["exe"], "^http://ads": ["http"], "^https?://a/": ["a"], "/ab+c/d/": ["d"], "/a/|/b/": [], "/x{2}y/z/": ["z"], "/a(b(c))/d/": ["d"], r"/\d9/q1/": ["q1"], "/Ab/c/": ["c"],
+    }
+    df = spark.createDataFrame([(p,) for p in cases], "pattern string")
+    got = {r.pattern: r.t for r in df.select("pattern", U.literal_tokens(F.col("pattern")).alias("t")).collect()}
+    assert got == cases
+
+
+def test_rules_from_a_table(spark, tmp_path):
+    """Rules read from a file, with and without tokens, by exchange as by broadcast."""
+    spark.createDataFrame([("pills", r"[/.]cheap-pills\.", None), ("x", r"/x[0-9]+/y", ["y"]), ("never", "/zzz/", None)], "name string, pattern string, tokens array<string>").write.parquet(str(tmp_path / "rules"))
+    rules = spark.read.parquet(str(tmp_path / "rules"))
+    urls = spark.createDataFrame([(u,) for u in ("http://a.cheap-pills.net/", "http://b/x12/Y", "http://b/x/y", "http://cheap/pills", None, "http://a.cheap-pills.net/")], "url string")
+    for most in (10_000, 0):
+        assert {(r.url, r.pattern) for r in U.blocked_urls(urls, rules, most).collect()} == {("http://a.cheap-pills.net/", "pills"), ("http://b/x12/Y", "x")}
+    assert U.blocked_urls(urls, rules.limit(0)).collect() == []
+    with pytest.raises(Exception, match="no literal token"):
+        U.blocked_urls(urls, spark.createDataFrame([("all", ".*")], "name string, pattern string")).collect()
