@@ -13,12 +13,14 @@ are never proposed.
 The vocabulary is a file in the `tokenizers` JSON format with a byte-level BPE
 model and no normaliser; its path is a parameter. It is read on the driver and
 broadcast (a fixed 50 thousand entries). Added tokens in a text are matched first,
-as that library does by default. Results are cached by pretoken in each worker,
-up to a bound.
+as that library does by default. Results are cached by pretoken in each worker, up
+to a bound of entries and of bytes. A file with another pre-tokeniser, or with added
+tokens that take spaces or whole words only, is refused.
 
 Special cases: null and empty texts have no ids and decode to ""; whole texts of
-any length are encoded; repeated rows get a row each; an empty table gives an
-empty result; extra columns are not carried.
+any length are encoded; of two merges of equal rank the left one comes first; a null
+id is kept; repeated rows get a row each; an empty table gives an empty result;
+extra columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from . import text as T
 from .blocks import lean
 
 SLICE_BYTES = 2 << 20
-CACHE_WORDS = 500_000
+CACHE_WORDS, CACHE_BYTES = 500_000, 96 << 20
 #: Up to this many bytes, a word is merged in a plain list.
 SHORT = 48
 NEVER = 1 << 30
@@ -60,6 +62,10 @@ class Codec:
         model = data["model"]
         if data.get("normalizer") or model["type"] != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges") or data["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("a byte-level BPE file without normaliser, dropout or prefix space is needed")
+        if data["pre_tokenizer"]["type"] != "ByteLevel" or not data["pre_tokenizer"].get("use_regex", True):
+            raise ValueError("only the byte-level pre-tokeniser with its own pattern is known")
+        if any(a.get(k) for a in data["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens must not take spaces or whole words only")
         to_byte = {c: b for b, c in enumerate(byte_characters())}
         self.added = {a["content"]: a["id"] for a in data["added_tokens"]}
         self.vocab: dict[bytes, int] = {}
@@ -101,6 +107,7 @@ class Codec:
         self.stable: dict[int, bool] = {}
         self.ids: dict[str, str] = {}
         self.decoded: dict[str, bytes] = {}
+        self.cached = 0
 
     def merged(self, word: bytes) -> list[int]:
         """The exact encoding: the lowest rank first, from the left."""
@@ -198,6 +205,7 @@ class Codec:
         for w, x in zip(words, made, strict=True):
             self.ids[w] = ",".join(map(str, x))
             self.decoded[w] = b"".join([self.bytes[i] for i in x])
+            self.cached += len(self.ids[w]) + 2 * len(w)
         return len(made), len(failing)
 
     def pretokens(self, text: str) -> list[str]:
@@ -207,9 +215,10 @@ class Codec:
 
     def prepare(self, texts: list[list[str]]) -> None:
         words = set().union(*texts) if texts else set()
-        if len(self.ids) + len(words) > CACHE_WORDS:
+        if len(self.ids) + len(words) > CACHE_WORDS or self.cached > CACHE_BYTES:
             for cache in (self.ids, self.decoded, self.stable):
                 cache.clear()
+            self.cached = 0
         if not self.ids:
             for a, i in self.added.items():
                 self.ids[a], self.decoded[a] = str(i), self.bytes[i]

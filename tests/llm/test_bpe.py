@@ -48,3 +48,25 @@ def test_pair_check_equals_merging():
 
 def test_empty(spark):
     assert bpe.bpe_round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_long_repeated_and_odd_rows(spark, monkeypatch):
+    """A cache that is cleared all the time, texts of a million bytes, repeated rows, no id, clashing columns."""
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1000)
+    lib = tokenizers.Tokenizer.from_file(PATH)
+    long = " ".join(f"word{k}" for k in range(120_000)) + "z" * 200_000
+    rows = [(1, long, "a", 1), (1, long, "a", 1), (None, "no id", "b", 2), (2, "plain", "c", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string, n_tokens int").selectExpr("*", "1 as decoded")
+    got = bpe.bpe_round_trip(df, PATH).collect()
+    want = {t: ",".join(map(str, lib.encode(t, add_special_tokens=False).ids)) for _, t, _, _ in rows}
+    assert sorted(((r.doc_id, r.ids == want[r.decoded], r.n_tokens == want[r.decoded].count(",") + 1) for r in got), key=str) == sorted([(1, True, True)] * 2 + [(None, True, True), (2, True, True)], key=str)
+
+
+@pytest.mark.parametrize("change", [{"pre_tokenizer": {"type": "Whitespace"}}, {"normalizer": {"type": "NFC"}}, {"added_tokens": [{"id": 50256, "content": "<x>", "lstrip": True}]}])
+def test_other_files_are_refused(change):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f) | change
+    with pytest.raises(ValueError):
+        bpe.Codec(json.dumps(spec))
