@@ -9,6 +9,8 @@ from ..functions import scalar as S
 from ..operators import histograms as H
 from ..operators import metrics as M
 from ..operators import rollup as R
+from ..operators import sweeps as W
+from ..operators import training as T
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -63,27 +65,30 @@ s AS (SELECT k, n * least(1.0::DOUBLE, 500.0 / sum(n) OVER ()) AS p FROM prior),
 lp AS (SELECT l_returnflag, h.k, ln((h.n + p + 1) / (sum(h.n) OVER (PARTITION BY l_returnflag) + sum(p) OVER (PARTITION BY l_returnflag) + 51)) AS log_p FROM h JOIN s USING (k))"""
 
 
-def _dirichlet(spark, d):
-    rows = table(spark, d, "lineitem").select("l_returnflag", "l_quantity")
-    return H.dirichlet_log_prob(H.dense(rows, "l_quantity", 50, ["l_returnflag"]), H.dense(rows, "l_quantity", 50), 50, 500.0, ["l_returnflag"])
+def _lengths(spark, d) -> dict:
+    """Length models by flag, with all rows as prior: histograms of 51 bins."""
+    rows = H.dense(table(spark, d, "lineitem").select("l_returnflag", "l_quantity"), "l_quantity", 50, ["l_returnflag"]).collect()
+    every = T.array_of(rows, 50)
+    return {f: T.LengthModel(T.array_of([r for r in rows if r.l_returnflag == f], 50), every, 500.0) for f in {r.l_returnflag for r in rows}}
 
 
 @query(DIRICHLET + " SELECT l_returnflag, k, round(log_p, 6) AS log_p FROM lp")
 def dirichlet_log_prob(spark, d):
-    return _dirichlet(spark, d).select("l_returnflag", "k", r6("log_p", "log_p"))
+    rows = [(f, k, round(float(x), 6)) for f, m in _lengths(spark, d).items() for k, x in enumerate(m.log_table())]
+    return spark.createDataFrame(rows, "l_returnflag string, k long, log_p double")
 
 
 @query(DIRICHLET + ", p AS (SELECT p_partkey, p_size * 2 AS len FROM part) SELECT p_partkey, round(CASE WHEN len <= 0 THEN 0 ELSE log_p + greatest(len - 50, 0) * ln(0.99) END, 6) AS log_lik FROM p JOIN lp ON lp.k = least(len, 50) AND l_returnflag = 'A'")
 def tail_decay(spark, d):
     parts = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 2).alias("len"))
-    return H.log_likelihood(parts, "len", _dirichlet(spark, d).filter("l_returnflag = 'A'"), 50).select("p_partkey", r6("log_lik", "log_lik"))
+    return parts.select("p_partkey", r6(_lengths(spark, d)["A"].log_lik(F.col("len")), "log_lik"))
 
 
 @query(f"""WITH h AS ({DENSE}), p AS (SELECT k, n / sum(n) OVER () AS p FROM h), c AS (SELECT k, p, sum(p) OVER (ORDER BY k) AS cdf, sum(k * p) OVER (ORDER BY k) AS cmom FROM p)
 SELECT p_partkey, round(greatest((p_size + 1) * (cdf - (SELECT p FROM c WHERE k = 0)) - cmom, 1), 6) AS eff_len FROM part JOIN c ON c.k = least(p_size, 50)""")
 def ecdf_eff_len(spark, d):
-    h = H.dense(table(spark, d, "lineitem").select("l_quantity"), "l_quantity", 50)
-    return H.effective_lengths(table(spark, d, "part").select("p_partkey", "p_size"), "p_size", h, 50).select("p_partkey", r6("eff_len", "eff_len"))
+    h = T.LengthModel(T.array_of(H.dense(table(spark, d, "lineitem").select("l_quantity"), "l_quantity", 50).collect(), 50))
+    return table(spark, d, "part").select("p_partkey", r6(h.effective_length(F.col("p_size")), "eff_len"))
 
 
 PARTS = "SELECT p_partkey, p_brand, p_size, coalesce(sum(l_quantity), 0) AS c FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY 1, 2, 3"
@@ -183,12 +188,12 @@ def _rounded(df, keys=()):
 
 @query(f"{PAIRED} SELECT {_METRICS} FROM t")
 def metrics_overall(spark, d):
-    return _rounded(_paired(spark, d).agg(*M.overall(F.col("truth"), F.col("pred"), 500.0)))
+    return _rounded(M.accuracy(_paired(spark, d), "truth", "pred", 500.0))
 
 
 @query(f"{PAIRED} SELECT CASE WHEN truth = 0 THEN 'zero' WHEN truth >= 1 AND truth < 10 THEN '1-10' WHEN truth >= 10 AND truth < 100 THEN '10-100' WHEN truth >= 100 AND truth < 1000 THEN '100-1000' WHEN truth >= 1000 THEN '1000+' END AS bin, {_METRICS} FROM t GROUP BY 1")
 def metrics_stratified(spark, d):
-    return _rounded(_paired(spark, d).groupBy(M.expression_bin(F.col("truth")).alias("bin")).agg(*M.overall(F.col("truth"), F.col("pred"), 500.0)), ("bin",))
+    return _rounded(M.accuracy(_paired(spark, d).withColumn("bin", M.expression_bin(F.col("truth"))), "truth", "pred", 500.0, ["bin"]), ("bin",))
 
 
 @query(f"{PAIRED}, r AS (SELECT rank() OVER (ORDER BY truth) + (count(*) OVER (PARTITION BY truth) - 1) / 2 AS a, rank() OVER (ORDER BY pred) + (count(*) OVER (PARTITION BY pred) - 1) / 2 AS b FROM t) SELECT round(corr(a, b), 6) AS spearman FROM r")
@@ -198,8 +203,7 @@ def spearman_ties(spark, d):
 
 @query(f"{PAIRED} SELECT round(corr(truth, pred), 6) AS pearson, count(*) FILTER (truth > 500 AND pred > 500) AS both, count(*) FILTER (truth > 500 AND pred <= 500) AS only_a, count(*) FILTER (truth <= 500 AND pred > 500) AS only_b FROM t")
 def pairwise(spark, d):
-    t, p = F.col("truth") > 500, F.col("pred") > 500
-    return _paired(spark, d).agg(r6(F.corr("truth", "pred"), "pearson"), F.count_if(t & p).alias("both"), F.count_if(t & ~p).alias("only_a"), F.count_if(~t & p).alias("only_b"))
+    return M.pairwise(_paired(spark, d), "truth", "pred", 500.0).withColumn("pearson", F.round("pearson", 6))
 
 
 @query(f"{PAIRED} SELECT k, truth, pred, round(log2((pred + 1) / (truth + 1)), 6) AS log2_change FROM t WHERE truth + pred >= 50 ORDER BY abs(round(log2((pred + 1) / (truth + 1)), 6)) DESC, k LIMIT 25")
@@ -209,8 +213,8 @@ def top_outliers(spark, d):
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS std, round(quantile_cont(l_extendedprice, 0.5), 4) AS median FROM lineitem GROUP BY 1, 2")
 def group_summary(spark, d):
-    x = F.col("l_extendedprice")
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_pop(x), 4).alias("std"), F.round(F.percentile(x, F.lit(0.5)), 4).alias("median"))
+    got = M.summary(table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice"), ["l_returnflag", "l_linestatus"], "l_extendedprice")
+    return got.select("l_returnflag", "l_linestatus", "n", *[F.round(c, 4).alias(c) for c in ("mean", "std", "median")])
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (value > 50) AS high, count(*) FILTER (event_type <> 'click' AND value <= 50) AS other_low FROM events")
@@ -228,30 +232,35 @@ def prefix_sum_exclusive(spark, d):
     return R.exclusive_sums(table(spark, d, "events").select("user_id", "ts", "value"), ["user_id"], ["ts"], "value", "before").select("user_id", "ts", r6("before", "before"))
 
 
-@query("SELECT doc_id, reverse(translate(substr(text, 1, 200), 'ACGTNacgtn', 'TGCANtgcan')) AS rc FROM documents")
+@query("SELECT doc_id, reverse(translate(text, 'ACGTNacgtn', 'TGCANtgcan')) AS rc FROM documents")
 def revcomp(spark, d):
-    return table(spark, d, "documents").select("doc_id", S.reverse_complement(F.substring("text", 1, 200)).alias("rc"))
+    return table(spark, d, "documents").select("doc_id", S.reverse_complement(F.col("text")).alias("rc"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("SELECT event_id, CAST(user_id AS VARCHAR) AS gene, concat(event_id, ',x') AS notes, concat(event_type, ',z') AS tags, 3 AS n FROM events")
 def kv_attrs(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    text = F.concat(F.lit('gene_id "'), "user_id", F.lit('"; tag "'), "event_type", F.lit('"; note "'), "event_id", F.lit('"; note "x"; tag "z"; level "2 a;b"; tag "z";'))
+    e = table(spark, d, "events").select("event_id", S.key_values(text).alias("kv"), S.tags(text).alias("t"))
+    return e.select("event_id", F.col("kv")["gene_id"][0].alias("gene"), F.array_join(F.col("kv")["note"], ",").alias("notes"), F.array_join("t", ",").alias("tags"), F.size("kv").alias("n"))
 
 
-@query("SELECT page_id, coalesce(nullif(regexp_extract(url, '/([a-z]{2})/', 1), ''), 'none') AS lang, coalesce(try_cast(regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1) AS BIGINT), -1) AS number, regexp_extract(url, '[?&]page=([0-9]+)', 1) AS page FROM pages")
-def parse_tokens(spark, d):
-    u = F.col("url")
-    return table(spark, d, "pages").select("page_id", F.coalesce(F.nullif(F.regexp_extract(u, "/([a-z]{2})/", 1), F.lit("")), F.lit("none")).alias("lang"), F.coalesce(F.regexp_extract(u, "/[a-z]{2}/([0-9]+)", 1).try_cast("long"), F.lit(-1)).alias("number"), F.regexp_extract(u, "[?&]page=([0-9]+)", 1).alias("page"))
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'unknown' ELSE lower(replace(n_name, '_', '')) END AS gdna, CASE WHEN s_suppkey % 2 = 0 THEN 0.9 ELSE 1.0 END::DOUBLE AS ss, CASE WHEN s_suppkey % 5 = 0 THEN 'rand' ELSE 'none' END AS nrna FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def condition_names(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey").join(table(spark, d, "nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
+    part = lambda cond, *text: F.when(cond, F.concat(*text))
+    k = F.col("s_suppkey")
+    name = F.concat_ws("_", part(k % 3 != 0, F.lit("gdna_"), F.lower(F.replace("n_name", F.lit("_"), F.lit("")))), F.when(k % 2 == 0, F.lit("ss_0.90")).otherwise(F.lit("ss_odd")), part(k % 5 == 0, F.lit("nrna_rand")))
+    gdna, ss, nrna = S.condition_parts(name)
+    return s.select("s_suppkey", gdna.alias("gdna"), ss.alias("ss"), nrna.alias("nrna"))
 
 
 @query("WITH w AS (SELECT p_partkey, greatest(0, p_size - 10 + 1) * p_retailprice AS w FROM part) SELECT p_partkey, round(w / sum(w) OVER () * 1e6, 6) AS p FROM w")
 def range_generate(spark, d):
-    w = table(spark, d, "part").select("p_partkey", (F.greatest(F.lit(0), F.col("p_size") - 9) * F.col("p_retailprice")).alias("w"))
-    return w.crossJoin(F.broadcast(w.agg(F.sum("w").alias("t")))).select("p_partkey", r6(F.col("w") / F.col("t") * 1e6, "p"))
+    got = W.normalised(table(spark, d, "part"), S.place_weight(F.col("p_size"), 10.0) * F.col("p_retailprice"), "p")
+    return got.select("p_partkey", r6(F.col("p") * 1e6, "p"))
 
 
 @query("SELECT a, b, c FROM (SELECT unnest(range(0, 101, 20)) AS a) CROSS JOIN (SELECT unnest([0.65, 0.9, 1.0])::DOUBLE AS b) CROSS JOIN (SELECT r_regionkey AS c FROM region)")
 def sweep_grid(spark, d):
-    a = spark.range(1).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(100).cast("long"), F.lit(20).cast("long"))).alias("a"))
-    b = spark.range(1).select(F.explode(F.array(*map(F.lit, (0.65, 0.9, 1.0)))).alias("b"))
-    return a.crossJoin(b).crossJoin(F.broadcast(table(spark, d, "region").select(F.col("r_regionkey").alias("c"))))
+    regions = [r[0] for r in table(spark, d, "region").select("r_regionkey").collect()]  # five rows
+    return W.grid(spark, {"a": {"start": 0, "stop": 100, "step": 20}, "b": [0.65, 0.9, 1.0], "c": regions}).withColumn("a", F.col("a").cast("long"))

@@ -12,7 +12,11 @@ from ..operators import annotation as A
 from ..operators import histograms as H
 from ..operators import metrics as M
 from ..operators import resolution as R
+from ..operators import scoring as C
 from ..operators import simulate as G
+from ..operators import sweeps as W
+from ..operators import training as T
+from ..sources import sinks
 from ..streaming import molecules
 
 QUERIES: dict = {}
@@ -57,24 +61,18 @@ def mixture_em_k(spark, d):
     return spark.createDataFrame([(k, round(float(x), 6), round(pi, 6)) for k, x in enumerate(g)], "k long, g double, pi double")
 
 
-@query("WITH h AS (SELECT l_returnflag, CAST(l_quantity AS BIGINT) AS k, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, round(sum(n) FILTER (k = 1) / sum(n), 6) AS first_share, round(sum(n) FILTER (k = 50) / sum(n), 6) AS last_share, max(k) FILTER (k = m) AS mode FROM (SELECT *, first_value(k) OVER (PARTITION BY l_returnflag ORDER BY n DESC, k) AS m FROM h) GROUP BY 1")
+@query("WITH h AS (SELECT l_returnflag, CAST(l_quantity AS BIGINT) AS k, count(*) AS n FROM lineitem GROUP BY 1, 2), m AS (SELECT *, first_value(k) OVER (PARTITION BY l_returnflag ORDER BY n DESC, k) AS m FROM h) SELECT l_returnflag, round(coalesce(sum(n) FILTER (k = 0), 0) / sum(n), 6) AS first_share, round(sum(n) FILTER (k = 50) / sum(n), 6) AS last_share, max(m) AS mode, round(sum(n * k) / sum(n), 6) AS mean FROM m GROUP BY 1")
 def hist_shape(spark, d):
-    h = table(spark, d, "lineitem").groupBy("l_returnflag", F.col("l_quantity").cast("long").alias("k")).agg(F.count("*").alias("n"))
-    share = lambda k: F.sum(F.when(F.col("k") == k, F.col("n"))) / F.sum("n")
-    return h.groupBy("l_returnflag").agg(r6(share(1), "first_share"), r6(share(50), "last_share"), F.max_by("k", F.struct(F.col("n"), -F.col("k"))).alias("mode"))
+    rows = H.dense(table(spark, d, "lineitem").select("l_returnflag", "l_quantity"), "l_quantity", 50, ["l_returnflag"]).collect()  # 51 bins a flag
+    models = {f: T.LengthModel(T.array_of([r for r in rows if r.l_returnflag == f], 50)) for f in {r.l_returnflag for r in rows}}
+    shape = [(f, *(round(x, 6) for x in m.shape()[:2]), m.shape()[2], round(m.mean, 6)) for f, m in models.items()]
+    return spark.createDataFrame(shape, "l_returnflag string, first_share double, last_share double, mode long, mean double")
 
 
 @query("SELECT event_type, round((count(*) + 1.0) / (sum(count(*)) OVER () + count(*) OVER ()), 6) AS p FROM events GROUP BY 1")
 def smoothed_shares(spark, d):
     c = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("c"))
-    total = c.agg(F.sum("c").alias("s"), F.count("*").alias("k"))
-    return c.crossJoin(F.broadcast(total)).select("event_type", r6((F.col("c") + 1) / (F.col("s") + F.col("k")), "p"))  # one row
-
-
-@query("SELECT l_suppkey, round(sum(l_discount * l_discount) / nullif(sum(l_discount), 0), 6) AS posterior_mean FROM lineitem GROUP BY 1")
-def posterior_mean(spark, d):
-    p = F.col("l_discount")
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(r6(F.sum(p * p) / F.nullif(F.sum(p), F.lit(0.0)), "posterior_mean"))
+    return W.normalised(c, F.col("c") + 1, "p").select("event_type", r6("p", "p"))
 
 
 @query("WITH p AS (SELECT p_partkey, p_size, sum(p_size) OVER (ORDER BY p_partkey) AS c, sum(p_size) OVER () AS t FROM part), n AS (SELECT *, CAST(round(c::DOUBLE / t * 100000) AS BIGINT) AS n FROM p) SELECT p_partkey, n - coalesce(lag(n) OVER (ORDER BY p_partkey), 0) AS share FROM n")
@@ -86,28 +84,27 @@ def allot_shares(spark, d):
 @query("WITH w AS (SELECT p_brand, sum(p_retailprice * greatest(p_size - 9, 0)) FILTER (p_type LIKE 'P%') AS a, sum(p_retailprice * greatest(p_size - 9, 0)) AS t FROM part GROUP BY 1) SELECT p_brand, CAST(round(coalesce(a / nullif(t, 0), 0) * 1000) AS BIGINT) AS first_pool, 1000 - CAST(round(coalesce(a / nullif(t, 0), 0) * 1000) AS BIGINT) AS second_pool FROM w")
 def pool_split(spark, d):
     w = F.col("p_retailprice") * F.greatest(F.col("p_size") - 9, F.lit(0))
-    part = F.coalesce(F.sum(F.when(F.col("p_type").startswith("P"), w)) / F.nullif(F.sum(w), F.lit(0.0)), F.lit(0.0))
-    n = F.round(part * 1000).cast("long")
-    return table(spark, d, "part").groupBy("p_brand").agg(n.alias("first_pool"), (1000 - n).alias("second_pool"))
+    first, second = W.two_pools(F.when(F.col("p_type").startswith("P"), w), w, 1000)
+    return table(spark, d, "part").groupBy("p_brand").agg(first.alias("first_pool"), second.alias("second_pool"))
 
 
 @query("WITH t AS (SELECT l_suppkey, sum(l_quantity) AS truth, sum(l_quantity * (1 - l_discount)) AS pred FROM lineitem GROUP BY 1) SELECT n_name, round(sum(truth), 4) AS truth, round(sum(pred), 4) AS pred, round((sum(pred) - sum(truth)) / nullif(sum(truth), 0), 6) AS rel_error FROM t JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
 def pool_metrics(spark, d):
     li = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("truth"), F.sum(F.col("l_quantity") * (1 - F.col("l_discount"))).alias("pred"))
     got = li.join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return got.groupBy("n_name").agg(F.round(F.sum("truth"), 4).alias("truth"), F.round(F.sum("pred"), 4).alias("pred"), r6((F.sum("pred") - F.sum("truth")) / F.nullif(F.sum("truth"), F.lit(0.0)), "rel_error"))
+    return M.pool_metrics(got, ["n_name"], "truth", "pred").select("n_name", F.round("truth", 4).alias("truth"), F.round("pred", 4).alias("pred"), r6("rel_error", "rel_error"))
 
 
 @query("SELECT c_nationkey, c_custkey AS carrier FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END DESC, c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r = 1")
 def pick_carrier(spark, d):
-    key = F.struct((F.col("c_mktsegment") == "BUILDING").alias("a"), F.col("c_acctbal"), -F.col("c_custkey"))
-    return table(spark, d, "customer").groupBy("c_nationkey").agg(F.max_by("c_custkey", key).alias("carrier"))
+    return W.carriers(table(spark, d, "customer"), ["c_nationkey"], F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal"), "c_custkey")
 
 
 @query("WITH b AS (SELECT l_orderkey, l_partkey, l_discount, max(l_extendedprice) AS ll, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_discount, max(l_extendedprice) DESC) AS r FROM lineitem GROUP BY 1, 2, 3) SELECT l_orderkey, l_partkey, l_discount AS overhang, ll FROM b WHERE r = 1")
 def best_hit(spark, d):
-    best = F.max(F.struct((-F.col("l_discount")).alias("o"), F.col("l_extendedprice").alias("ll"))).alias("b")
-    return table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(best).select("l_orderkey", "l_partkey", F.abs("b.o").alias("overhang"), "b.ll")
+    hit = F.struct(F.col("l_partkey").alias("t_index"), F.col("l_discount").alias("over"), F.col("l_extendedprice").alias("ll"))
+    many = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(hit).alias("cands"))
+    return many.select("l_orderkey", F.explode(F.expr(C.best_hits("cands"))).alias("c")).select("l_orderkey", F.col("c.t_index").alias("l_partkey"), F.col("c.over").alias("overhang"), "c.ll")
 
 
 EXONS = "array(named_struct('start', s, 'end', s + n), named_struct('start', s + 2 * n, 'end', s + 3 * n))"
@@ -162,24 +159,14 @@ def set_algebra(spark, d):
 
 @query("WITH a AS (SELECT l_partkey AS k, sum(l_quantity) AS expected FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_partkey AS k, sum(l_quantity) AS observed FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT k, coalesce(expected, 0) AS expected, coalesce(observed, 0) AS observed, coalesce(expected, 0) = coalesce(observed, 0) AS exact, round(abs(coalesce(observed, 0) - expected) / nullif(expected, 0), 6) AS rel_error FROM a FULL JOIN b USING (k)")
 def expected_observed(spark, d):
-    li = table(spark, d, "lineitem").select("l_partkey", "l_quantity", "l_returnflag")
-    of = lambda flag, name: F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity"))).alias(name)
-    # One pass with two conditional sums in place of a full join of two aggregates.
-    g = li.filter(F.col("l_returnflag").isin("A", "R")).groupBy(F.col("l_partkey").alias("k")).agg(of("A", "e"), of("R", "o"))
-    e, o = F.coalesce("e", F.lit(0.0)), F.coalesce("o", F.lit(0.0))
-    return g.select("k", e.alias("expected"), o.alias("observed"), (e == o).alias("exact"), r6(F.abs(o - F.col("e")) / F.nullif(F.col("e"), F.lit(0.0)), "rel_error"))
+    return M.expected_observed(table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), "l_quantity", "l_returnflag"), ["k"], "l_returnflag", "A", "R", "l_quantity").withColumn("rel_error", F.round("rel_error", 6))
 
 
-@query("SELECT l_returnflag, round(avg(l_quantity) FILTER (l_linestatus = 'F'), 6) AS f, round(avg(l_quantity) FILTER (l_linestatus = 'O'), 6) AS o FROM lineitem GROUP BY 1")
-def report_pivot(spark, d):
+@query("""WITH p AS (SELECT l_returnflag, avg(l_quantity) FILTER (l_linestatus = 'F') AS f, avg(l_quantity) FILTER (l_linestatus = 'O') AS o FROM lineitem GROUP BY 1)
+SELECT 0 AS part, concat('## Quantity', chr(10), chr(10), '| l_returnflag | F | O |', chr(10), '|---|---|---|') AS line UNION ALL SELECT 1, concat('| ', l_returnflag, ' | ', coalesce(printf('%.2f', f), ''), ' | ', coalesce(printf('%.2f', o), ''), ' |') FROM p""")
+def report_lines(spark, d):
     got = table(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.avg("l_quantity"))
-    return got.select("l_returnflag", r6("F", "f"), r6("O", "o"))
-
-
-@query("WITH s AS (SELECT p_brand, p_size, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS members FROM part GROUP BY 1, 2) SELECT p_brand, p_size, members FROM s")
-def index_collapse(spark, d):
-    got = table(spark, d, "part").groupBy("p_brand", "p_size").agg(F.sort_array(F.collect_set("p_partkey")).alias("m"))
-    return got.select("p_brand", "p_size", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("members"))
+    return sinks.markdown(got, "Quantity", ["l_returnflag", "F", "O"], ["l_returnflag"], 2)
 
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment, c_custkey) - 1 AS t_index, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS g_index FROM customer")
@@ -188,12 +175,11 @@ def dense_ids(spark, d):
     return A.number(c).select("c_custkey", F.col("t_index").cast("long").alias("t_index"), F.col("g_index").cast("long").alias("g_index"))
 
 
-@query("WITH q AS (SELECT s_nationkey, sum(l_quantity) FILTER (l_returnflag = 'R') AS g, sum(l_quantity) AS t FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1) SELECT n_nationkey, round(CASE WHEN coalesce(t, 0) = 0 THEN 0 ELSE coalesce(g, 0) / t END, 6) AS rate FROM nation LEFT JOIN q ON s_nationkey = n_nationkey")
+@query("SELECT s_nationkey, round(CASE WHEN coalesce(sum(l_quantity), 0) = 0 THEN 0 ELSE coalesce(sum(l_quantity) FILTER (l_returnflag = 'R'), 0) / sum(l_quantity) END, 6) AS rate FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1")
 def contamination_rate(spark, d):
-    li = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))).alias("g"), F.sum("l_quantity").alias("t"))
-    q = li.join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("s_nationkey").agg(F.sum("g").alias("g"), F.sum("t").alias("t"))
-    rate = F.when(F.coalesce("t", F.lit(0.0)) == 0, 0.0).otherwise(F.coalesce("g", F.lit(0.0)) / F.col("t"))
-    return table(spark, d, "nation").select("n_nationkey").join(q, F.col("n_nationkey") == F.col("s_nationkey"), "left").select("n_nationkey", r6(rate, "rate"))
+    li = table(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.sum("l_quantity").alias("w"))
+    q = table(spark, d, "supplier").select("s_suppkey", "s_nationkey").join(li, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    return M.contamination(q, ["s_nationkey"], F.col("l_returnflag") == "R", "w").select("s_nationkey", r6("rate", "rate"))
 
 
 def _annotation(spark, d) -> DataFrame:

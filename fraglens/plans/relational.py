@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import resolve
 from ..operators import estimation as E
 from ..operators import intervals as I
+from ..operators import loci as L
+from ..operators import metrics as M
+from ..operators import scoring as C
 from ..operators import sets as S
 
 QUERIES: dict = {}
@@ -105,22 +109,6 @@ def point_in_partition(spark, d):
     return I.point_in_partition(e, "lo", b, "start", ["user_id"]).select("event_id", "day")
 
 
-@query("SELECT l_orderkey, l_partkey, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey, CASE WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'R' THEN 2 ELSE 0 END AS s FROM lineitem) q JOIN (SELECT p_partkey, p_size % 2 + 1 AS t FROM part) ON l_partkey = p_partkey AND (s = t OR s NOT IN (1, 2)) GROUP BY 1, 2")
-def sj_exact_or_wild(spark, d):
-    s = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", 2).otherwise(0)
-    q = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", s.alias("s")).distinct()
-    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 2 + 1).alias("t"))
-    return q.join(p, (F.col("l_partkey") == F.col("p_partkey")) & ((F.col("s") == F.col("t")) | ~F.col("s").isin(1, 2))).groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n"))
-
-
-@query("WITH bl AS (SELECT l_suppkey AS k, max(l_linenumber) AS a, max(l_quantity) / 2 AS b FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.08 GROUP BY 1 HAVING count(*) >= 2) SELECT l_suppkey, count(*) AS n FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM bl WHERE k = l_suppkey AND (l_linenumber <= a - 3 OR l_quantity <= b)) GROUP BY 1")
-def anchor_rule_filter(spark, d):
-    li = table(spark, d, "lineitem")
-    bl = li.filter("l_returnflag = 'R' AND l_discount > 0.08").groupBy(F.col("l_suppkey").alias("k")).agg(F.max("l_linenumber").alias("a"), (F.max("l_quantity") / 2).alias("b"), F.count("*").alias("c")).filter("c >= 2")
-    bad = (F.col("l_suppkey") == F.col("k")) & ((F.col("l_linenumber") <= F.col("a") - 3) | (F.col("l_quantity") <= F.col("b")))
-    return li.select("l_suppkey", "l_linenumber", "l_quantity").join(bl, bad, "left_anti").groupBy("l_suppkey").agg(F.count("*").alias("n"))
-
-
 _SETS = "SELECT l_orderkey, l_linenumber, list(DISTINCT p_size % 8 ORDER BY p_size % 8) AS s FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2"
 
 
@@ -134,19 +122,6 @@ def set_merge(spark, d):
     return sets.select("l_orderkey", F.array_join(S.merge_sets("sets"), ",").alias("merged"), S.merge_code("sets").alias("code"))
 
 
-@query("SELECT l_orderkey, min(s_nationkey) <> max(s_nationkey) AS ambiguous, CASE WHEN min(s_nationkey) = max(s_nationkey) THEN min(s_nationkey) ELSE -1 END AS value FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1")
-def ambig_flag(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    lo, hi = F.min("s_nationkey"), F.max("s_nationkey")
-    return li.groupBy("l_orderkey").agg((lo != hi).alias("ambiguous"), F.when(lo == hi, lo).otherwise(-1).alias("value"))
-
-
-@query("SELECT l_orderkey, count(DISTINCT n_regionkey) > 1 AS chimera FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
-def chimera_flag(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "nation").select("n_nationkey", "n_regionkey"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return li.groupBy("l_orderkey").agg((F.min("n_regionkey") != F.max("n_regionkey")).alias("chimera"))
-
-
 @query()
 def connected_components(spark, d):
     e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 1000000000).alias("b"))
@@ -161,20 +136,22 @@ def equivalence_classes(spark, d):
 
 @query("SELECT l_orderkey, l_linestatus, l_extendedprice FROM (SELECT *, max(ln(l_extendedprice)) OVER (PARTITION BY l_orderkey, l_linestatus) AS best FROM lineitem) WHERE best - ln(l_extendedprice) <= 1.25")
 def prune_by_pool(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linestatus", "l_extendedprice", F.log("l_extendedprice").alias("ll"))
-    return E.prune(li, ["l_orderkey"], "l_linestatus", "ll", 1.25).drop("ll")
+    c = F.struct((F.col("l_linestatus") == "O").alias("is_synthetic"), F.log("l_extendedprice").alias("ll"), "l_linestatus", "l_extendedprice")
+    u = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(c).alias("cands"))
+    return u.select("l_orderkey", F.explode(F.expr(C.pruned("cands", 1.25))).alias("c")).select("l_orderkey", "c.l_linestatus", "c.l_extendedprice")
 
 
 @query("WITH m AS (SELECT user_id, value / 100 AS x, max(value / 100) OVER (PARTITION BY user_id) AS m FROM events) SELECT user_id, count(*) AS n, round(max(m) + ln(avg(exp(x - m))), 6) AS lme FROM m GROUP BY 1")
 def lse_mean(spark, d):
-    e = table(spark, d, "events").select("user_id", (F.col("value") / 100).alias("x"))
-    return E.log_mean_exp(e, ["user_id"], "x").select("user_id", "n", F.round("lme", 6).alias("lme"))
+    e = table(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.col("value") / 100).alias("x"))
+    return e.select("user_id", F.size("x").cast("long").alias("n"), F.round(C.log_mean_exp("x"), 6).alias("lme"))
 
 
-@query("WITH u AS (SELECT user_id % 20 AS locus, user_id, max(value) / 100 AS best FROM events GROUP BY 1, 2) SELECT locus, round(10 * avg(1 / (1 + exp(-(best - 0.5)))), 6) AS alpha FROM u GROUP BY 1")
+@query("WITH u AS (SELECT user_id % 20 AS locus, user_id, max(value) / 100 AS best FROM events GROUP BY 1, 2) SELECT locus, round(10 * avg(1 / (1 + exp(-(ln(0.3) - ln(0.7) + best - 0.5)))), 6) AS alpha FROM u GROUP BY 1")
 def locus_prior(spark, d):
     u = table(spark, d, "events").groupBy((F.col("user_id") % 20).alias("locus"), "user_id").agg((F.max("value") / 100).alias("best"))
-    return u.groupBy("locus").agg(F.round(10 * F.avg(E.sigmoid(F.col("best") - 0.5)), 6).alias("alpha"))
+    stamped = u.select(F.col("locus").alias("locus_id"), F.col("best").alias("gdna_log_lik"), F.array(F.struct(F.lit(0.5).alias("ll"))).alias("cands"))
+    return L.priors(stamped, 0.3).select(F.col("locus_id").alias("locus"), F.round("alpha_gdna", 6).alias("alpha"))
 
 
 ROUNDS = 5
@@ -206,10 +183,14 @@ def em_fixed_iter(spark, d):
     return got.groupBy("n_name").agg(F.round(F.sum("theta") * 1e6, 4).alias("tpm"), F.count("*").alias("n"))
 
 
-@query(_em_sql() + f" SELECT u AS l_orderkey, c AS winner, round(theta / z, 6) AS posterior FROM (SELECT u, c, theta, sum(theta) OVER (PARTITION BY u) AS z, row_number() OVER (PARTITION BY u ORDER BY round(theta, 9) DESC, c) AS r FROM pairs JOIN t{ROUNDS} USING (c)) WHERE r = 1")
+@query(_em_sql() + f" SELECT u AS l_orderkey, c AS winner, round(theta / z, 5) AS posterior FROM (SELECT u, c, round(theta, 9) AS theta, sum(round(theta, 9)) OVER (PARTITION BY u) AS z, row_number() OVER (PARTITION BY u ORDER BY round(theta, 9) DESC, c) AS r FROM pairs JOIN t{ROUNDS} USING (c)) WHERE r = 1")
 def em_map_winner(spark, d):
     pairs, theta = _theta(spark, d)
-    return E.winners(pairs, theta, "l_orderkey", "l_suppkey").select("l_orderkey", "winner", F.round("posterior", 6).alias("posterior"))
+    cand = F.struct(F.col("l_suppkey").cast("int").alias("t_index"), F.lit(0.0).alias("ll"), F.lit(0.0).alias("bias"), F.lit(0).alias("count_col"))
+    units = pairs.groupBy(F.col("l_orderkey").alias("unit")).agg(F.collect_list(cand).alias("cands")).select("unit", F.lit(0).alias("locus_id"), F.lit(0).alias("splice_type"), F.lit(float("-inf")).alias("gdna_log_lik"), "cands")
+    state = theta.select(F.lit(0).alias("locus_id"), F.col("l_suppkey").cast("int").alias("comp"), F.round("theta", 9).alias("theta"))
+    got = L.assign(units, state, resolve({"assignment_mode": "map", "assignment_min_posterior": 0.0})[0].em)
+    return got.select(F.col("unit").alias("l_orderkey"), F.col("comp").cast("long").alias("winner"), F.round("posterior", 5).alias("posterior"))
 
 
 @query("SELECT o_orderpriority, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) GROUP BY 1")
@@ -225,16 +206,15 @@ def anti_join(spark, d):
 
 @query("SELECT p_partkey, coalesce(n, 0) AS n FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_partkey = p_partkey")
 def left_fill(spark, d):
-    n = table(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy("l_partkey").agg(F.count("*").alias("n"))
-    return table(spark, d, "part").select("p_partkey").join(n, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", F.coalesce("n", F.lit(0)).alias("n"))
+    n = table(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
+    return M.with_truth(table(spark, d, "part").select("p_partkey"), n, "p_partkey", "n")
 
 
-@query("SELECT c_custkey, n_name, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2")
+@query("WITH a AS (SELECT l_partkey AS k, count(*) AS a FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), n AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1), r AS (SELECT l_partkey AS k, count(*) AS r FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT k, a, n, r FROM a JOIN n USING (k) JOIN r USING (k)")
 def three_way_inner(spark, d):
-    # Counting before the join keeps orders of a customer from being shuffled as rows.
-    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
-    return c.join(o, F.col("c_custkey") == F.col("o_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "n")
+    li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), "l_returnflag")
+    of = lambda flag: li.filter(F.col("l_returnflag") == flag).groupBy("k").agg(F.count("*").alias(flag.lower()))
+    return M.three_way(of("A"), of("N"), of("R"), "k")
 
 
 @query("SELECT p_brand, p_type, count(*) AS n, CAST(grouping(p_brand) * 2 + grouping(p_type) AS BIGINT) AS level FROM part GROUP BY ROLLUP (p_brand, p_type)")

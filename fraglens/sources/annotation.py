@@ -54,8 +54,13 @@ def read_reference_lengths(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignment rows of SAM text, 0-based; NM defaults to 0, NH to 1, HI to -1."""
-    f = spark.read.text(path).filter(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("f"))
+    """Alignment rows of SAM text, plain or gzip."""
+    return parse_sam(spark.read.text(path))
+
+
+def parse_sam(lines: DataFrame) -> DataFrame:
+    """Alignment rows of SAM lines (column ``value``), 0-based; NM defaults to 0, NH to 1, HI to -1."""
+    f = lines.filter(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("f"))
     tag = lambda t, k: F.regexp_extract(F.array_join(F.slice("f", 12, 1000), "\t"), rf"(?:^|\t){t}:{k}:([^\t]*)", 1)
     num = lambda t, default: F.coalesce(F.nullif(tag(t, "i"), F.lit("")).cast("int"), F.lit(default))
     g = lambda i: F.col("f")[i]
@@ -65,6 +70,31 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def strand_tag(alignments: DataFrame) -> DataFrame:
+    """(tag): which tags tell the strand of spliced rows that are mapped and passed quality control: XS,ts or XS or ts or none."""
+    spliced = alignments.filter((F.col("flag").bitwiseAND(F.lit(0x4 | 0x200)) == 0) & F.col("cigar").contains("N"))
+    xs, ts = F.coalesce(F.max(F.col("xs").isNotNull()), F.lit(False)), F.coalesce(F.max(F.col("ts").isNotNull()), F.lit(False))
+    return spliced.agg(F.when(xs & ts, "XS,ts").when(xs, "XS").when(ts, "ts").otherwise("none").alias("tag"))
+
+
+def tag_order(spec: str) -> tuple[str, ...]:
+    """Tags named by a setting, in the order in which they are asked: auto, none, or XS and ts by commas."""
+    names = tuple(x.strip() for x in spec.split(",") if x.strip())
+    if names in (("auto",), ()):
+        return ("XS", "ts")
+    if names == ("none",):
+        return ()
+    if set(names) - {"XS", "ts"}:
+        raise ValueError(f"unknown strand tag: {spec}")
+    return names
+
+
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(ref, sequence) of FASTA text, plain or gzip. Each record is a row: the text is split at its header lines."""
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("v")).filter(F.trim("v") != "")
+    return records.select(F.regexp_extract("v", r"^(\S+)", 1).alias("ref"), F.regexp_replace(F.regexp_replace("v", r"^[^\n]*", ""), r"\s+", "").alias("sequence"))
+
+
 def splice_blacklist(rows: DataFrame, least: int = 2) -> DataFrame:
     """(ref, start, end, max_anchor_left, max_anchor_right) of junction rows seen at least ``least`` times."""
     kept = rows.filter(F.col("count") >= least).groupBy(F.col("chrom").alias("ref"), F.col("intron_start").alias("start"), F.col("intron_end").alias("end"))

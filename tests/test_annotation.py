@@ -7,6 +7,7 @@ from fraglens.operators import annotation as A
 from fraglens.operators import estimation as E
 from fraglens.operators import fragments as G
 from fraglens.operators import histograms as H
+from fraglens.operators import resolution as R
 from fraglens.sources import annotation as N
 from fraglens.sources import sinks
 
@@ -75,8 +76,8 @@ def test_resolution(index, spark):
     rows = [(n, 99 if k == 0 else 147, "chr1", pos, 60, cig, "chr1", pos, 0, 1, -1, xs, None) for n, pos, cig, xs, _, _ in cases for k in (0, 1)]
     rows += [("dup", 0x400 | 1, "chr1", 150, 60, "50M", "chr1", 1, 0, 1, -1, None, None)]
     df = spark.createDataFrame(rows, N.ALIGNMENT_SCHEMA)
-    blocks, js = G.blocks_and_junctions(df)
-    got = {r.qname: (r.splice_type, r.candidates) for r in G.resolve(blocks, js, A.transcript_intervals(index), A.junctions(index)).collect()}
+    annotated = A.with_nascent(index)
+    got = {r.qname: (r.splice_type, [c.t_index for c in r.candidates if not c.is_synthetic]) for r in R.resolve_all(df, annotated).collect()}
     assert got == {n: (k, c) for n, _, _, _, k, c in cases}
 
 
@@ -103,6 +104,7 @@ def test_digamma():
     assert E.digamma(1.0) == pytest.approx(-0.5772156649, abs=1e-9)
     assert E.digamma(10.0) == pytest.approx(2.2517525890, abs=1e-9)
     assert E.digamma(0) < -1e299
+    assert E.digamma(np.array([0.5, 1e6, 0.01])).tolist() == pytest.approx([-1.9635100260, 13.8155100580, -100.5608854579], abs=1e-8)
 
 
 def test_mixture():

@@ -136,10 +136,25 @@ def test_settings():
 def test_strand_model():
     m = T.StrandModel(95, 5)
     assert m.p_sense == 0.95 and T.StrandModel(0, 0).p_sense == 0.5
-    assert T.StrandModel(100, 0).minority_bound() == pytest.approx(1 - 0.05 ** (1 / 101), abs=1e-9)
+    assert T.StrandModel(100, 0).minority_bound() == pytest.approx(1 - 0.01 ** (1 / 101), abs=1e-9)
+    assert T.StrandModel(0, 0).minority_bound() == 0.5 == T.StrandModel(2, 2).minority_bound()
+    # Beta(6, 96) at 0.95 and Beta(3, 9) at 0.99, from published tables of the binomial.
+    x = T.StrandModel(95, 5).minority_bound(0.95)
+    assert sum(__import__("math").comb(101, i) * x**i * (1 - x) ** (101 - i) for i in range(6)) == pytest.approx(0.05, abs=1e-9)
+    assert T.StrandModel(9_000_000, 1_000_000).minority_bound() == pytest.approx(0.1, abs=3e-4)
 
 
 def test_length_model():
     h = np.zeros(101)
     assert T.LengthModel(h).log_table()[3] == pytest.approx(-np.log(101))
     assert E.softmax_rows(np.array([0.0, 0.0, -np.inf]), np.array([2, 1])).tolist() == [0.5, 0.5, 0.0]
+
+
+def test_truncated_normal_fills_its_bounds(spark):
+    """No spike at the mean, whatever the bounds; the mean and spread of the normal between wide ones."""
+    low, high = F.lit(-1000), F.lit(1000)
+    r = spark.range(20000).select(M.truncated_normal(1, "x", 200.0, 30.0, low, high, "id").alias("w"), M.truncated_normal(1, "y", 200.0, 30.0, F.lit(280), F.lit(283), "id").alias("t"), M.truncated_normal(1, "z", 200.0, 30.0, F.lit(7), F.lit(7), "id").alias("o"))
+    x = r.toPandas()
+    assert x.w.mean() == pytest.approx(200, abs=1) and x.w.std() == pytest.approx(30, rel=0.03)
+    assert set(x.t) == {280, 281, 282, 283} and (x.t == 280).mean() < 0.5
+    assert set(x.o) == {7}
