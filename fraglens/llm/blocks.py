@@ -29,7 +29,7 @@ from . import text as T
 
 BLOCK_SCHEMA = "block_id long, ids array<bigint>, lengths binary, payload binary, carried binary, n_bytes long"
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -122,18 +122,21 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.n
     return loss, g
 
 
-def segments(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes (time, segment), used (time, segment), document of each segment); the last of a document is padded by blanks."""
+def segments(off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, bytes, document) of each segment; the last of a document may have fewer bytes than others."""
     size = np.diff(off)
     per = -(-size // SEGMENT)
     doc = np.repeat(np.arange(len(size)), per)
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
     start = off[doc] + nth * SEGMENT
-    n = np.minimum(off[doc + 1] - start, SEGMENT)
+    return start, np.minimum(off[doc + 1] - start, SEGMENT), doc
+
+
+def bytes_of(raw: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes (time, segment), used (time, segment)); short segments are padded by blanks."""
     at = start[None, :] + np.arange(SEGMENT)[:, None]
     used = np.arange(SEGMENT)[:, None] < n[None, :]
-    x = np.where(used, raw[np.minimum(at, max(len(raw) - 1, 0))] if len(raw) else 0, T.SPACE).astype(np.uint8)
-    return x, used, doc
+    return np.where(used, raw[np.minimum(at, max(len(raw) - 1, 0))] if len(raw) else 0, T.SPACE).astype(np.uint8), used
 
 
 def train(rows: list[tuple[str, bytes]], steps: int = STEPS, seed: int = 7) -> tuple[list[str], dict[str, np.ndarray]]:
@@ -142,10 +145,11 @@ def train(rows: list[tuple[str, bytes]], steps: int = STEPS, seed: int = 7) -> t
     xs, ms, ys = [], [], []
     for k, lang in enumerate(langs):
         raw, off, _ = T.buffers(pa.array([t for v, t in rows if v == lang], pa.large_binary()))
-        x, used, _ = segments(raw, off)
-        pick = rng.permutation(x.shape[1])[:SEGMENTS]
-        xs.append(x[:, pick])
-        ms.append(used[:, pick])
+        start, n, _ = segments(off)
+        pick = rng.permutation(len(start))[:SEGMENTS]
+        x, used = bytes_of(raw, start[pick], n[pick])
+        xs.append(x)
+        ms.append(used)
         ys.append(np.full(len(pick), k))
     x, mask = np.concatenate(xs, 1), np.concatenate(ms, 1).astype(np.float32)
     by = [len(y) for y in ys]
@@ -167,10 +171,11 @@ def train(rows: list[tuple[str, bytes]], steps: int = STEPS, seed: int = 7) -> t
 
 
 def document_probabilities(p: dict[str, np.ndarray], raw: np.ndarray, off: np.ndarray, step: int = 2048) -> np.ndarray:
-    x, used, doc = segments(raw, off)
+    start, n, doc = segments(off)
     sums = np.zeros((len(off) - 1, len(p["c"])))
-    for at in range(0, x.shape[1], step):
-        prob = (position_probabilities(p, x[:, at : at + step]) * used[:, at : at + step, None]).sum(0)
+    for at in range(0, len(start), step):
+        x, used = bytes_of(raw, start[at : at + step], n[at : at + step])
+        prob = (position_probabilities(p, x) * used[:, :, None]).sum(0)
         for k in range(prob.shape[1]):
             sums[:, k] += np.bincount(doc[at : at + step], prob[:, k], minlength=len(sums))
     return sums / np.maximum(np.diff(off), 1)[:, None]
@@ -178,8 +183,10 @@ def document_probabilities(p: dict[str, np.ndarray], raw: np.ndarray, off: np.nd
 
 def has_letters(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     """By ASCII letters first; only texts without one are looked at by character."""
-    count = np.concatenate(([0], np.cumsum(ASCII_LETTERS[raw])))
-    out = count[off[1:]] > count[off[:-1]]
+    out = np.zeros(len(off) - 1, bool)
+    some = np.flatnonzero(np.diff(off))
+    if len(some):
+        out[some] = np.logical_or.reduceat(ASCII_LETTERS[raw], off[some])
     for k in np.flatnonzero(~out).tolist():
         out[k] = any(map(str.isalpha, raw[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace")))
     return out

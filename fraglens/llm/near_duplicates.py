@@ -12,8 +12,8 @@ similarity 0.8 shares none with probability 0.00005 (1 - (1 - 0.8**5)**25 is the
 recall), one of 0.85 with 0.000001. Connected candidates meet, and are linked only
 if the exact similarity of their whole sets reaches the threshold: a set is compared
 with all of its candidate group that are not yet in its component. A group beyond
-CHUNK sets is cut into chunks, and each pair of chunks is a task of its own. The
-links' components are found in Spark tables.
+CHUNK sets or CHUNK_SHINGLES shingles is cut into chunks, and each pair of chunks is
+a task of its own. The links' components are found in Spark tables.
 
 Special cases: null and empty texts have the empty set and are alike; texts of any
 length are compared whole; a similarity of just 0.8 is a link; a null id takes part
@@ -41,8 +41,8 @@ SHINGLE = 5
 LEAST = (4, 5)
 BANDS, ROWS = 25, 5
 SLICE_BYTES = 2 << 20
-#: Sets of a candidate group in one chunk; a task compares two chunks.
-CHUNK = 1024
+#: Sets of a candidate group in one chunk, and their shingles; a task compares two chunks.
+CHUNK, CHUNK_SHINGLES = 1024, 1 << 19
 _rng = np.random.RandomState(20240807)
 _FLIP, _FACTOR = (_rng.randint(0, 2**63 - 1, BANDS * ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
@@ -152,12 +152,12 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
                         yield pa.RecordBatch.from_arrays([sid, part.column("text")], names=["sid", "text"])
                     else:
                         keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sid) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(value, bounds).reshape(-1)))
-                        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("content"), sid, pa.array(set_fingerprints(value, bounds)), keys], names=["doc_id", "content", "sid", "fp", "keys"])
+                        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("content"), sid, pa.array(set_fingerprints(value, bounds)), pa.array(np.diff(bounds), pa.int64()), keys], names=["doc_id", "content", "sid", "fp", "size", "keys"])
 
         return run
 
-    table = B.cut(rows.mapInArrow(mapped(False), "doc_id bigint, content bigint, sid bigint, fp bigint, keys array<bigint>"))
-    distinct = B.cut(table.groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    table = B.cut(rows.mapInArrow(mapped(False), "doc_id bigint, content bigint, sid bigint, fp bigint, size bigint, keys array<bigint>"))
+    distinct = B.cut(table.groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")))
     bands = distinct.select("sid", F.explode("keys").alias("key"))
     heads = bands.groupBy("key").agg(F.min("sid").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
     banded = bands.join(heads, "key").filter("a < sid").select("a", F.col("sid").alias("b"))
@@ -167,7 +167,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     close = near_links(one.select("fp")).withColumnsRenamed({"a": "x", "b": "y"}).join(one.withColumnRenamed("fp", "x"), "x").join(one.select(F.col("fp").alias("y"), F.col("a").alias("b")), "y").select("a", "b")
     candidates = connected_components(banded.unionByName(alike).unionByName(close))
     member = B.cut(candidates.select(F.col("node").alias("sid"), F.col("root").alias("part")))
-    chunks = member.groupBy("part").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k"))
+    sized = member.join(distinct.select("sid", "size"), "sid")
+    chunks = sized.groupBy("part").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("size") / CHUNK_SHINGLES)).cast("int").alias("k"))
     texts = rows.mapInArrow(mapped(True), "sid bigint, text string").join(member.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.first("text").alias("text"))
     own = F.pmod(F.xxhash64("sid"), F.col("k")).cast("int")
     placed = texts.join(member, "sid").join(chunks, "part").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))

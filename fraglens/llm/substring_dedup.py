@@ -24,7 +24,7 @@ rows with equal ids are one document for "smaller" (none is smaller than the
 other), so that repeated rows lose the same words; documents with under ``window``
 words keep all; texts of any length are one document of one block; an empty table
 gives an empty result. Extra columns, whatever their names, are kept if named in
-``carry``. Memory: some times the largest of a block (6 MB of text) and the longest
+``carry``. Memory: some times the largest of a block (4 MB of text) and the longest
 single document.
 """
 
@@ -195,10 +195,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             till = np.append(w.start[1:], len(block.buf))
             if len(w):
                 till = np.minimum(till, block.starts[w.doc + 1] - 1)
-            drop = np.zeros(len(block.buf) + 1, np.int32)
+            drop = np.zeros(len(block.buf) + 1, np.int8)
             np.add.at(drop, w.start[gone], 1)
             np.add.at(drop, till[gone], -1)
-            keep = np.cumsum(drop[:-1]) == 0
+            keep = np.cumsum(drop[:-1], dtype=np.int8) == 0
+            del drop
             if len(block):
                 keep[block.starts[1:] - 1] = False
             nulls = block.nulls
@@ -212,11 +213,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             last = last[np.append(w.doc[last][1:] != w.doc[last][:-1], True)] if len(last) else last
             keep[w.end[last]] = False
             nulls = np.zeros(len(block), bool)
-        count = np.concatenate(([0], np.cumsum(keep)))
+        count = np.zeros(len(block.starts), np.int64)
+        some = np.flatnonzero(np.diff(block.starts))
+        count[some + 1] = np.add.reduceat(keep, block.starts[some], dtype=np.int64) if len(some) else 0
+        count = np.cumsum(count)
         chars = block.buf[keep]
         if not layout:
             chars = np.where(T.WHITE[chars], T.SPACE, chars).astype(np.uint8)
-        texts = T.to_strings(chars, count[block.starts], nulls).cast(pa.string())
+        texts = T.to_strings(chars, count, nulls).cast(pa.string())
         own = [pa.array(block.ids, pa.int64()), pa.array(w.count, pa.int64()), pa.array(counts, pa.int64()), spans, texts]
         return pa.Table.from_arrays([*own, *(block.carried.columns if carry else ())], names=schema.names)
 
