@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import argparse
-import json
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from . import quantify as Q
-from .config import FLAGS, resolve
+from .config import FLAGS, dump, resolve
 from .operators import simulate as M
 from .sources import annotation as N
-from .sources import results, sinks
+from .sources import bam, index_tables, results, sinks
 
 SWITCHES = ("keep_duplicates", "no_multimap")
 NUMBERS = {"overhang_alpha": float, "mismatch_alpha": float, "pruning_min_posterior": float, "max_frag_length": int, "fl_prior_ess": float, "exon_fit_tolerance_bp": int, "em_iterations": int, "em_tolerance": float, "assignment_min_posterior": float, "seed": int}
@@ -26,11 +24,14 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--out", required=True)
     i.add_argument("--parse-mode", choices=("strict", "skip"), default="strict")
     i.add_argument("--bed", action="store_true")
+    i.add_argument("--references", help=".fai of the genome, for what lies between transcripts")
+    i.add_argument("--artifacts", help="Parquet of junctions that are artifacts of mapping, with their counts and anchors")
+    i.add_argument("--tsv", action="store_true", help="mirrors of the tables as text")
     q = sub.add_parser("quant", help="alignments and an index to abundances")
-    q.add_argument("--alignments", required=True, help="SAM text or Parquet")
+    q.add_argument("--alignments", required=True, help="SAM text, BAM or Parquet")
     q.add_argument("--index", required=True)
     q.add_argument("--out", required=True)
-    q.add_argument("--config", help="JSON file of settings; given flags go before it")
+    q.add_argument("--config", help="JSON text of settings, such as a run writes; given flags go before it")
     q.add_argument("--annotated", help="folder for annotated SAM text")
     for name in FLAGS:
         flag = "--" + name.replace("_", "-")
@@ -51,21 +52,25 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("fraglens").getOrCreate()
     if a.command == "index":
-        t = Q.index(N.read_gtf(spark, a.gtf, a.parse_mode))
-        sinks.write_table(t, f"{a.out}/transcripts")
+        lengths = N.read_reference_lengths(spark, a.references) if a.references else None
+        blacklist = N.splice_blacklist(spark.read.parquet(a.artifacts)) if a.artifacts else None
+        index_tables.write_index(Q.index(N.read_gtf(spark, a.gtf, a.parse_mode)), a.out, lengths, blacklist, a.tsv)
         if a.bed:
+            t = spark.read.parquet(f"{a.out}/transcripts")
             sinks.bed12(t.filter("NOT is_synthetic")).write.text(f"{a.out}/bed")
     elif a.command == "quant":
-        stored = json.loads(Path(a.config).read_text()) if a.config else None
+        stored = index_tables.read_text(spark, a.config) if a.config else None
         config, unknown = resolve({k: getattr(a, k) for k in FLAGS}, stored)
         if unknown:
             print("unknown settings:", ", ".join(unknown))
         sam = a.alignments.endswith((".sam", ".sam.gz"))
-        rows = N.read_sam(spark, a.alignments) if sam else spark.read.parquet(a.alignments)
-        got = Q.quantify(rows, spark.read.parquet(f"{a.index}/transcripts"), config)
+        rows = N.read_sam(spark, a.alignments) if sam else bam.read_bam(spark, a.alignments) if a.alignments.endswith(".bam") else spark.read.parquet(a.alignments)
+        index = index_tables.read_index(spark, a.index)
+        got = Q.quantify(rows, index.transcripts, config, index.blacklist)
         for name, df in got.tables.items():
             sinks.write_table(df, f"{a.out}/{name}")
-        spark.createDataFrame([(json.dumps(got.summary, default=str),)], "value string").coalesce(1).write.text(f"{a.out}/summary")
+        index_tables.write_text(spark, got.summary, f"{a.out}/summary")
+        index_tables.write_text(spark, dump(config), f"{a.out}/config")
         if a.annotated:
             lines = spark.read.text(a.alignments) if sam else results.sam_lines(rows)
             results.annotated_sam(lines, got.annotations).write.text(a.annotated)
@@ -78,7 +83,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(a.tables)
         for entry in fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(fs):
             name = entry.getPath().getName()
-            if entry.isDirectory() and name not in ("summary", "bed"):
+            if entry.isDirectory() and name not in ("summary", "config", "manifest", "bed", "text"):
                 df = spark.read.parquet(f"{a.tables}/{name}")
                 flat = [c for c, t in df.dtypes if not t.startswith(("array", "map", "struct"))]
                 sinks.write_table(df.select(*flat) if a.kind == "tsv" else df, f"{a.out}/{name}", a.kind)
