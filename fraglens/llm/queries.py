@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_wrapper, language_gru, line_quality, ppm, quality_zstd, simhash, substring_dedup, url_filter
+from . import bpe, decontaminate, html_wrapper, infilling, language_gru, line_quality, ppm, quality_zstd, ranked_search, simhash, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = infilling.fill_in_middle(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(infilling.restored(), 256).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filter, op2_language_id, op3_lm_score, op4_substring_dedup, op5_html_text, op6_decontaminate, op7_quality_rules, op8_quality_score, op9_bpe, op10_simhash, pipeline)
+    own = (op1_url_filter, op2_language_id, op3_lm_score, op4_substring_dedup, op5_html_text, op6_decontaminate, op7_quality_rules, op8_quality_score, op9_bpe, op10_simhash, op12_ranked_search, op13_fill_in_middle, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -122,6 +132,27 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS ws FROM documents),
+stats AS (SELECT count(*) FILTER (len(ws) > 0) AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d),
+tf AS (SELECT doc_id, term, n, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d) GROUP BY doc_id, term, n),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_ALNUM}) AS term FROM benchmark)),
+weight AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM df, stats WHERE term IN (SELECT term FROM q)),
+part AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))) AS part FROM tf JOIN weight USING (term), stats),
+scored AS (SELECT item_id, doc_id, sum(part)::BIGINT AS score FROM q JOIN part USING (term) GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10"""
+
+_H = "CAST('0x' || substr(h, {}, 8) AS BIGINT)"
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents),
+r AS (SELECT *, len(u) AS n, {_H.format(1)} % (len(u) + 1) AS a, {_H.format(9)} % (len(u) + 1) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR {_H.format(17)} % 100 >= 90 THEN 'plain' WHEN {_H.format(25)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS s FROM r)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM c"""
+
 _HAS_WORD = "regexp_matches(x, '[^\\x20\\x09-\\x0D]')"
 OP7_SQL = f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {WORDS} AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {_HAS_WORD}) AS ls FROM documents),
@@ -140,4 +171,4 @@ SELECT *, NOT base_failed AND NOT (n_removed > 0 AND (n_words - n_removed < {lin
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _op1_sql(), "op4_substring_dedup": OP4_SQL, "op6_decontaminate": OP6_SQL, "op7_quality_rules": OP7_SQL}
+    return {"op1_url_filter": _op1_sql(), "op4_substring_dedup": OP4_SQL, "op6_decontaminate": OP6_SQL, "op7_quality_rules": OP7_SQL, "op12_ranked_search": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
