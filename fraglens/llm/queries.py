@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_wrapper, infilling, language_gru, line_quality, ppm, quality_zstd, ranked_search, simhash, substring_dedup, url_filter
+from . import bpe, decontaminate, html_wrapper, infilling, language_gru, line_quality, minhash, ppm, quality_zstd, ranked_search, simhash, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_components(table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = ranked_search.build_index(table(spark, sf_dir, "documents"))
     return ranked_search.search(index, table(spark, sf_dir, "benchmark"))
@@ -82,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filter, op2_language_id, op3_lm_score, op4_substring_dedup, op5_html_text, op6_decontaminate, op7_quality_rules, op8_quality_score, op9_bpe, op10_simhash, op12_ranked_search, op13_fill_in_middle, pipeline)
+    own = (op1_url_filter, op2_language_id, op3_lm_score, op4_substring_dedup, op5_html_text, op6_decontaminate, op7_quality_rules, op8_quality_score, op9_bpe, op10_simhash, op11_minhash, op12_ranked_search, op13_fill_in_middle, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -132,6 +136,16 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
+OP11_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) END)) AS x FROM w),
+sets AS (SELECT x, min(doc_id) AS id, len(x) AS n FROM s WHERE len(x) > 0 GROUP BY x),
+sh AS (SELECT id, n, unnest(x) AS k FROM sets),
+links AS (SELECT a.id AS a, b.id AS b FROM sh a JOIN sh b ON a.k = b.k AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(id, c) AS (SELECT id, id FROM sets UNION SELECT CASE WHEN l.a = r.id THEN l.b ELSE l.a END, r.c FROM reach r JOIN links l ON l.a = r.id OR l.b = r.id),
+label AS (SELECT id, min(c) AS c FROM reach GROUP BY id)
+SELECT s.doc_id, len(s.x)::BIGINT AS n_shingles, coalesce(c, s.doc_id) AS component_id, coalesce(c, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN sets ON sets.x = s.x LEFT JOIN label ON label.id = sets.id"""
+
 OP12_SQL = f"""
 WITH d AS (SELECT doc_id, {_ALNUM} AS ws FROM documents),
 stats AS (SELECT count(*) FILTER (len(ws) > 0) AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d),
@@ -171,4 +185,4 @@ SELECT *, NOT base_failed AND NOT (n_removed > 0 AND (n_words - n_removed < {lin
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _op1_sql(), "op4_substring_dedup": OP4_SQL, "op6_decontaminate": OP6_SQL, "op7_quality_rules": OP7_SQL, "op12_ranked_search": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
+    return {"op1_url_filter": _op1_sql(), "op4_substring_dedup": OP4_SQL, "op6_decontaminate": OP6_SQL, "op7_quality_rules": OP7_SQL, "op11_minhash": OP11_SQL, "op12_ranked_search": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
