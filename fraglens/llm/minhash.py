@@ -15,9 +15,10 @@ made. Pairs are never listed within a bucket:
 * each set is first compared with one pivot, the smallest of all sets that lead a
   bucket of it; what is linked is a component;
 * then, round by round, only buckets that still hold several components count: of
-  each, up to ``SLOTS`` members of different components become pivots, are compared
-  with all its members of other components, and leave it. A bucket is over when one
-  component, or one member, is left;
+  each, up to ``SLOTS`` members become pivots, are compared with all its members of
+  other components, and leave it. A bucket is over when one
+  component, or one member, is left, which takes one round if it has no more members
+  than slots;
 * members of buckets that are still large after a round are filed under their rarest
   elements instead: of two sets of similarity s, both have a common element among
   their first (1 - s) n + 1 in any order of all elements. In order of frequency, a
@@ -52,7 +53,7 @@ BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
 SLICE_BYTES = 2 << 20
 #: Pivots of a bucket in a round; members of a bucket that is filed anew.
-SLOTS, LARGE = 32, 1024
+SLOTS, LARGE = 64, 256
 _rng = np.random.RandomState(20170707)
 _SEED = _rng.randint(0, 2**63 - 1, 2 * COORDINATES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _EMPTY = np.uint64(T.MASK64)
@@ -155,12 +156,13 @@ def resolve(members: DataFrame, sets: DataFrame, links: DataFrame, tried: DataFr
         if several.isEmpty():
             return root
         named = named.join(several.select("key", "n"), "key")
+        slot = F.pmod(F.xxhash64("sid"), F.when(F.col("n") <= SLOTS, F.lit(1 << 62)).otherwise(F.lit(SLOTS)))
         if not filed and rounds and not several.filter(F.col("n") > LARGE).isEmpty():
             anew = by_rarest(named.filter(F.col("n") > LARGE), sets, least)
             left, filed = B.cut(named.filter(F.col("n") <= LARGE).select("key", "sid", "size").unionByName(anew)), True
             continue
         named = B.cut(named)
-        pivots = B.cut(named.groupBy("key", F.pmod(F.xxhash64("part"), F.lit(SLOTS)).alias("slot")).agg(F.min(F.struct("sid", "size", "part")).alias("p")).select("key", "p"))
+        pivots = B.cut(named.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("sid", "size", "part")).alias("p")).select("key", "p"))
         met = named.join(pivots, "key").filter((F.col("part") != F.col("p.part")) & _may("size", "p.size", least))
         pairs = met.select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b")).distinct()
         pairs = B.cut(pairs.join(tried, ["a", "b"], "left_anti"))
