@@ -8,10 +8,13 @@ from pyspark.sql import SparkSession
 
 from . import quantify as Q
 from .config import FLAGS, dump, resolve
+from .operators import sequences
 from .operators import simulate as M
+from .operators.common import cut
 from .sources import annotation as N
 from .sources import bam, index_tables, results, sinks
 
+CHOICES = {"bias": ("uniform", "estimated")}
 SWITCHES = ("keep_duplicates", "no_multimap")
 NUMBERS = {"overhang_alpha": float, "mismatch_alpha": float, "pruning_min_posterior": float, "max_frag_length": int, "fl_prior_ess": float, "exon_fit_tolerance_bp": int, "em_iterations": int, "em_tolerance": float, "assignment_min_posterior": float, "seed": int}
 
@@ -32,15 +35,20 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--index", required=True)
     q.add_argument("--out", required=True)
     q.add_argument("--config", help="JSON text of settings, such as a run writes; given flags go before it")
-    q.add_argument("--annotated", help="folder for annotated SAM text")
+    q.add_argument("--annotated", help="folder for the alignments with tags: binary files in the order of binary input, else SAM text")
     for name in FLAGS:
         flag = "--" + name.replace("_", "-")
-        q.add_argument(flag, action="store_const", const=True) if name in SWITCHES else q.add_argument(flag, type=NUMBERS.get(name, str))
-    s = sub.add_parser("sim", help="simulated alignments of an index")
+        q.add_argument(flag, action="store_const", const=True) if name in SWITCHES else q.add_argument(flag, type=NUMBERS.get(name, str), choices=CHOICES.get(name))
+    s = sub.add_parser("sim", help="simulated alignments of an index, and reads of a genome")
     for name, kind in (("--index", str), ("--references", str), ("--out", str)):
         s.add_argument(name, type=kind, required=True)
-    for name, kind, default in (("--mrna", int, 1000), ("--nrna", int, 0), ("--gdna", int, 0), ("--seed", int, 0), ("--strand-specificity", float, 1.0)):
+    for name, kind, default in (("--mrna", int, 1000), ("--nrna", int, 0), ("--gdna", int, 0), ("--seed", int, 0), ("--strand-specificity", float, 1.0), ("--error-rate", float, 0.0), ("--read-length", int, 100)):
         s.add_argument(name, type=kind, default=default)
+    s.add_argument("--strand-kappa", type=float, help="concentration of the share of plus fragments of genomic regions; a half everywhere without it")
+    s.add_argument("--nascent", type=float, nargs=2, default=(0.0, 0.3), metavar=("LOW", "HIGH"), help="nascent part of the abundance of a transcript")
+    s.add_argument("--genome", help="FASTA of the references; without it, reads are of random bases with the motifs of splice sites")
+    s.add_argument("--fastq", help="folder for the reads")
+    s.add_argument("--bam", help="folder for the alignments as binary files, by name")
     e = sub.add_parser("export", help="tables of a folder to tab-separated text or Parquet")
     e.add_argument("--tables", required=True)
     e.add_argument("--out", required=True)
@@ -48,6 +56,22 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _simulate(spark: SparkSession, a: argparse.Namespace) -> None:
+    lengths = N.read_reference_lengths(spark, a.references)
+    t = M.valid_exons(spark.read.parquet(f"{a.index}/transcripts"), lengths)
+    t = M.spike_nascent(M.abundances(t, a.seed), a.seed, *a.nascent)
+    c = M.SimConfig(seed=a.seed, strand_specificity=a.strand_specificity, error_rate=a.error_rate, read_length=a.read_length, strand_kappa=a.strand_kappa)
+    frags = cut(M.fragments(t, lengths, a.mrna, a.nrna, a.gdna, c))
+    rows = M.paired_records(frags, a.read_length)
+    sinks.write_table(rows, a.out)
+    if a.bam:
+        refs = [tuple(r) for r in lengths.orderBy("ref").collect()]
+        bam.write_bam(bam.encoded(rows, refs), bam.Header("@HD\tVN:1.6\tSO:queryname\n", refs), a.bam, ["qname", "flag"])
+    if a.fastq:
+        chunks = cut(sequences.read_fasta(spark, a.genome) if a.genome else sequences.edited(sequences.random_chunks(lengths, a.seed), sequences.splice_motifs(t.filter("NOT is_synthetic"))))
+        sequences.write_fastq(sequences.reads(frags, chunks, a.read_length, a.error_rate, a.seed), a.fastq)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("fraglens").getOrCreate()
@@ -64,21 +88,24 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         if unknown:
             print("unknown settings:", ", ".join(unknown))
         sam = a.alignments.endswith((".sam", ".sam.gz"))
-        rows = N.read_sam(spark, a.alignments) if sam else bam.read_bam(spark, a.alignments) if a.alignments.endswith(".bam") else spark.read.parquet(a.alignments)
+        binary = a.alignments.endswith(".bam")
+        heads = bam.headers(spark, a.alignments) if binary else {}
+        rows = N.read_sam(spark, a.alignments) if sam else bam.read_records(spark, a.alignments, heads) if binary else spark.read.parquet(a.alignments)
         index = index_tables.read_index(spark, a.index)
-        got = Q.quantify(rows, index.transcripts, config, index.blacklist)
+        got = Q.quantify(rows.drop("raw"), index.transcripts, config, index.blacklist)
         for name, df in got.tables.items():
             sinks.write_table(df, f"{a.out}/{name}")
         index_tables.write_text(spark, got.summary, f"{a.out}/summary")
         index_tables.write_text(spark, dump(config), f"{a.out}/config")
-        if a.annotated:
+        if a.annotated and binary:
+            if len({tuple(h.references) for h in heads.values()}) > 1:
+                raise ValueError("files of different references cannot be written as one")
+            bam.write_bam(Q.annotated(rows, got, config, index.blacklist), next(iter(heads.values())), a.annotated, bam.KEY)
+        elif a.annotated:
             lines = spark.read.text(a.alignments) if sam else results.sam_lines(rows)
             results.annotated_sam(lines, got.annotations).write.text(a.annotated)
     elif a.command == "sim":
-        t = spark.read.parquet(f"{a.index}/transcripts")
-        t = M.spike_nascent(M.abundances(t, a.seed), a.seed, 0.0, 0.3)
-        c = M.SimConfig(seed=a.seed, strand_specificity=a.strand_specificity)
-        sinks.write_table(M.paired_records(M.fragments(t, N.read_reference_lengths(spark, a.references), a.mrna, a.nrna, a.gdna, c)), a.out)
+        _simulate(spark, a)
     else:
         fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(a.tables)
         for entry in fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(fs):

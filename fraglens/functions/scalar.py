@@ -96,30 +96,12 @@ def winner_flags(synthetic: Column, nascent: Column, gdna: Column) -> Column:
     return F.when(gdna, 1 | 4).when(synthetic, 1 | 8 | 16).when(nascent, 1 | 8).otherwise(1 | 2)
 
 
-def mean_bias(prefix: str, start: str, end: str) -> Column:
-    """Mean of a positional bias over [start, end) clipped to the transcript, from its prefix sums (one entry more than bases); 0 where nothing is left."""
-    s, e = f"greatest({start}, 0)", f"least({end}, size({prefix}) - 1)"
-    return F.expr(f"CASE WHEN {e} <= {s} THEN 0D ELSE ({prefix}[{e}] - {prefix}[{s}]) / ({e} - {s}) END")
-
-
-def biased_length(prefix: str, frag: str) -> Column:
-    """Sum over all places of a fragment of the mean bias there, 1 at least; from prefix sums."""
-    n = f"size({prefix}) - 1 - {frag} + 1"
-    return F.expr(f"CASE WHEN {n} <= 0 THEN 1D ELSE greatest(aggregate(sequence(0, {n} - 1), 0D, (a, v) -> a + {prefix}[v + {frag}] - {prefix}[v]) / {frag}, 1D) END")
-
-
 def condition_parts(name: Column) -> tuple[Column, Column, Column]:
     """(genomic label, strand specificity, nascent label) of a condition's name, ``gdna_x_ss_y_nrna_z`` in any order; unknown, 1.0 and none where it does not say."""
     after = lambda k: F.nullif(F.regexp_extract(name, rf"(?:^|_){k}_([^_]*)", 1), F.lit(""))
     return F.coalesce(after("gdna"), F.lit("unknown")), F.coalesce(after("ss").try_cast("double"), F.lit(1.0)), F.coalesce(after("nrna"), F.lit("none"))
 
 
-def spliced_sequence(exons: str, seq: str, strand: str) -> Column:
-    """Bases of the exons out of a reference's sequence, in transcript direction."""
-    plus = F.expr(f"array_join(transform({exons}, e -> substring({seq}, cast(e.start + 1 as int), cast(e.end - e.start as int))), '')")
-    return F.when(F.col(strand) == NEG, reverse_complement(plus)).otherwise(plus)
-
-
 def place_weight(length: Column, mean: float) -> Column:
     """Places of a mean fragment in a sequence, none where it does not fit."""
     return F.greatest(length - mean + 1, F.lit(0.0))

@@ -89,12 +89,6 @@ def tag_order(spec: str) -> tuple[str, ...]:
     return names
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(ref, sequence) of FASTA text, plain or gzip. Each record is a row: the text is split at its header lines."""
-    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("v")).filter(F.trim("v") != "")
-    return records.select(F.regexp_extract("v", r"^(\S+)", 1).alias("ref"), F.regexp_replace(F.regexp_replace("v", r"^[^\n]*", ""), r"\s+", "").alias("sequence"))
-
-
 def splice_blacklist(rows: DataFrame, least: int = 2) -> DataFrame:
     """(ref, start, end, max_anchor_left, max_anchor_right) of junction rows seen at least ``least`` times."""
     kept = rows.filter(F.col("count") >= least).groupBy(F.col("chrom").alias("ref"), F.col("intron_start").alias("start"), F.col("intron_end").alias("end"))

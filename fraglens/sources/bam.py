@@ -537,3 +537,22 @@ def write_bam(records: DataFrame, header: Header, path: str, order: list[str]) -
         name = entry.getPath().getName()
         if found := re.match(r"(part-\d+)", name):
             fs.rename(entry.getPath(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"{found[1]}.bam"))
+
+
+def stamped(records: DataFrame, tags: DataFrame, kinds: dict[str, tuple[str, str]], key: list[str] = KEY) -> DataFrame:
+    """The records (``key``, raw), with tags of those that have a row in ``tags`` (``key`` and the columns that ``kinds`` names by tag, with their types) in the place of any of the same name; the others as they are."""
+    columns = [c for _, c in kinds.values()]
+    joined = records.select(*key, "raw").join(tags.select(*key, *columns, F.lit(True).alias("_has")), key, "left")
+    schema = records.select(*key, "raw").schema
+
+    def put(raw: bytes, row: dict) -> bytes:
+        at = tags_at(raw)
+        own = b"".join(raw[start - 3 : end] for name, _, start, end in tag_spans(raw, at) if name not in kinds)
+        return raw[:at] + own + b"".join(tag_bytes(name, kind, row[c]) for name, (kind, c) in kinds.items() if row[c] is not None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [put(r["raw"], r) if r["_has"] else r["raw"] for r in batch.select(["raw", "_has", *columns]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), pa.array(got, pa.binary())], names=[*key, "raw"])
+
+    return joined.mapInArrow(run, schema)

@@ -24,18 +24,6 @@ def gtf_lines(transcripts: DataFrame) -> DataFrame:
     return e.select(F.concat_ws("\t", "ref", F.lit("fraglens"), F.lit("exon"), (F.col("e.start") + 1).cast("string"), F.col("e.end").cast("string"), F.lit("."), S.strand_text(F.col("strand")), F.lit("."), attrs).alias("value"))
 
 
-def fasta_lines(sequences: DataFrame, name: str = "ref", width: int = 60) -> DataFrame:
-    """One record (column ``value``) for each row, its sequence in lines of ``width``."""
-    lines = F.regexp_replace("sequence", rf"(.{{{width}}})(?=.)", "$1\n")
-    return sequences.select(F.concat(F.lit(">"), F.col(name), F.lit("\n"), lines).alias("value"))
-
-
-def fastq_lines(reads: DataFrame, mate: int, quality: str = "I") -> DataFrame:
-    """One record of four lines (column ``value``) for each row (qname, r1, r2): its mate's read and quality."""
-    seq = F.col(f"r{mate}")
-    return reads.select(F.concat(F.lit("@"), F.col("qname"), F.lit(f"/{mate}\n"), seq, F.lit("\n+\n"), F.repeat(F.lit(quality), F.length(seq))).alias("value"))
-
-
 def markdown(df: DataFrame, title: str, columns: list[str], order: list[str], digits: int = 4) -> DataFrame:
     """(part, line): a table as Markdown: title, header, and a line for each row, numbers with ``digits`` places; part 0 goes before part 1, whose lines sort by ``order``."""
     cell = lambda c, t: F.format_string(f"%.{digits}f", F.col(c).cast("double")) if t in ("double", "float") else F.col(c).cast("string")
