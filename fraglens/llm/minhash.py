@@ -9,8 +9,9 @@ fill all. Two sets agree in a coordinate with a probability that equals their
 similarity, and the share of equal coordinates is as concentrated as that of
 independent ones.
 
-Bands of ``ROWS`` coordinates are keys. Of 40 bands, a pair of similarity 0.8 shares
-none with probability 1.3e-7. Texts with equal sets are one row before any key is
+Bands of ``ROWS`` coordinates are keys. Of 50 bands of 7, a pair of similarity 0.8
+shares none with probability 8e-6, one of 0.85 with 4e-9, while one of 0.3 shares any
+with 0.01. Texts with equal sets are one row before any key is
 made. Pairs are never listed within a bucket:
 * each set is first compared with one pivot, the smallest of all sets that lead a
   bucket of it; what is linked is a component;
@@ -49,7 +50,7 @@ from . import text as T
 from .components import connected_components
 from .near_duplicates import set_ids, shingle_sets
 
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 50, 7
 COORDINATES = BANDS * ROWS
 SLICE_BYTES = 2 << 20
 #: Pivots of a bucket in a round; members of a bucket that is filed anew.
@@ -148,27 +149,32 @@ def by_rarest(members: DataFrame, sets: DataFrame, least: tuple[int, int]) -> Da
 
 def resolve(members: DataFrame, sets: DataFrame, links: DataFrame, tried: DataFrame, least: tuple[int, int]) -> DataFrame:
     """(node, root): components of all similar pairs within buckets (key, sid, size); ``links`` are known, the pairs ``tried`` have been compared."""
-    left, filed, rounds = members, False, 0
+    left, filed, rounds, root = members, False, 0, None
     while True:
-        root = B.cut(connected_components(links).select("node", "root"))
+        if not links.isEmpty() or root is None:
+            known = links if root is None else links.unionByName(root.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
+            root = B.cut(connected_components(known).select("node", "root"))
         named = left.join(root.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "size", F.coalesce("root", "sid").alias("part"))
         several = B.cut(named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).filter("lo < hi"))
-        if several.isEmpty():
+        most = several.agg(F.max("n")).first()[0]
+        if most is None:
             return root
         named = named.join(several.select("key", "n"), "key")
-        slot = F.pmod(F.xxhash64("sid"), F.when(F.col("n") <= SLOTS, F.lit(1 << 62)).otherwise(F.lit(SLOTS)))
-        if not filed and rounds and not several.filter(F.col("n") > LARGE).isEmpty():
+        if not filed and rounds and most > LARGE:
             anew = by_rarest(named.filter(F.col("n") > LARGE), sets, least)
             left, filed = B.cut(named.filter(F.col("n") <= LARGE).select("key", "sid", "size").unionByName(anew)), True
             continue
         named = B.cut(named)
+        slot = F.pmod(F.xxhash64("sid"), F.when(F.col("n") <= SLOTS, F.lit(1 << 62)).otherwise(F.lit(SLOTS)))
         pivots = B.cut(named.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("sid", "size", "part")).alias("p")).select("key", "p"))
         met = named.join(pivots, "key").filter((F.col("part") != F.col("p.part")) & _may("size", "p.size", least))
         pairs = met.select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b")).distinct()
         pairs = B.cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        links = root.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(similar(pairs, sets, least))
-        tried, rounds = B.cut(tried.unionByName(pairs)), rounds + 1
+        links = B.cut(similar(pairs, sets, least))
+        if most <= SLOTS and links.isEmpty():
+            return root
         left = B.cut(named.join(pivots.select("key", F.col("p.sid").alias("sid")), ["key", "sid"], "left_anti").select("key", "sid", "size"))
+        tried, rounds = B.cut(tried.unionByName(pairs)), rounds + 1
 
 
 def components(table: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:

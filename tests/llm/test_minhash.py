@@ -56,7 +56,7 @@ def corpus(seed=4):
     return rows
 
 
-@pytest.mark.parametrize("slots,large,bands", [(64, 256, 40), (2, 8, 200)])
+@pytest.mark.parametrize("slots,large,bands", [(64, 256, 50), (8, 16, 350)])
 def test_against_brute_force(spark, monkeypatch, slots, large, bands):
     """With one coordinate a band, the many that share a passage meet in large buckets."""
     monkeypatch.setattr(M, "SLOTS", slots)
