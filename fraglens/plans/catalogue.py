@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("basics", "relational", "domain", "index")
+MODULES: tuple[str, ...] = ("basics", "relational", "domain", "index", "runs")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

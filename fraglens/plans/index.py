@@ -157,14 +157,6 @@ def rejected_junctions(spark, d):
     return G.mark_rejected(j, N.splice_blacklist(artifacts(spark, d))).select("l_orderkey", "l_linenumber", "bad")
 
 
-_REASON = "CASE " + " ".join(f"WHEN flag & {bit} <> 0 THEN '{name}'" for name, bit in G.REASONS.items()) + " END"
-
-
-@query(f"WITH a AS (SELECT l_orderkey AS q, l_linenumber AS nh, CAST(l_partkey * 7 % 4096 AS INT) AS flag FROM lineitem), r AS (SELECT *, {_REASON} AS r FROM a) SELECT count(*) AS n_rows, {', '.join(f'count(*) FILTER (r = {chr(39)}{n}{chr(39)}) AS n_{n}' for n in G.REASONS)}, count(*) FILTER (r IS NULL) AS n_kept, count(*) FILTER (r IS NULL AND flag & 256 <> 0) AS n_secondary, count(*) FILTER (r IS NULL AND flag & 1 = 0) AS n_unpaired, count(*) FILTER (r IS NULL AND flag & 2 <> 0) AS n_proper, count(*) FILTER (r IS NULL AND nh > 1) AS n_multimapping_rows, count(DISTINCT q) FILTER (r IS NULL) AS n_molecules FROM r")
-def scan_counters(spark, d):
-    return G.scan_counters(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("qname"), F.col("l_linenumber").alias("nh"), (F.col("l_partkey") * 7 % 4096).cast("int").alias("flag")))
-
-
 @query("WITH x AS (SELECT l_orderkey, l_linenumber AS k, CAST(l_quantity AS INT) AS q, l_suppkey * 100 AS p FROM lineitem) SELECT l_orderkey, k AS l_linenumber, concat(p, '-', p + q, ',', p + q + k + 10, '-', p + q + k + 10 + q + 9) AS blocks, concat(p + q, '-', p + q + k + 10, ':', q, ':', q + 9) AS junctions FROM x")
 def alignment_blocks(spark, d):
     k, q = F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string")

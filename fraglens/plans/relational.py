@@ -183,14 +183,14 @@ def em_fixed_iter(spark, d):
     return got.groupBy("n_name").agg(F.round(F.sum("theta") * 1e6, 4).alias("tpm"), F.count("*").alias("n"))
 
 
-@query(_em_sql() + f" SELECT u AS l_orderkey, c AS winner, round(theta / z, 5) AS posterior FROM (SELECT u, c, round(theta, 9) AS theta, sum(round(theta, 9)) OVER (PARTITION BY u) AS z, row_number() OVER (PARTITION BY u ORDER BY round(theta, 9) DESC, c) AS r FROM pairs JOIN t{ROUNDS} USING (c)) WHERE r = 1")
+@query(_em_sql() + f" SELECT u AS l_orderkey, c AS winner, round(theta / z, 6) AS posterior FROM (SELECT u, c, round(theta, 9) AS theta, sum(round(theta, 9)) OVER (PARTITION BY u) AS z, row_number() OVER (PARTITION BY u ORDER BY round(theta, 9) DESC, c) AS r FROM pairs JOIN t{ROUNDS} USING (c)) WHERE r = 1")
 def em_map_winner(spark, d):
     pairs, theta = _theta(spark, d)
     cand = F.struct(F.col("l_suppkey").cast("int").alias("t_index"), F.lit(0.0).alias("ll"), F.lit(0.0).alias("bias"), F.lit(0).alias("count_col"))
     units = pairs.groupBy(F.col("l_orderkey").alias("unit")).agg(F.collect_list(cand).alias("cands")).select("unit", F.lit(0).alias("locus_id"), F.lit(0).alias("splice_type"), F.lit(float("-inf")).alias("gdna_log_lik"), "cands")
     state = theta.select(F.lit(0).alias("locus_id"), F.col("l_suppkey").cast("int").alias("comp"), F.round("theta", 9).alias("theta"))
     got = L.assign(units, state, resolve({"assignment_mode": "map", "assignment_min_posterior": 0.0})[0].em)
-    return got.select(F.col("unit").alias("l_orderkey"), F.col("comp").cast("long").alias("winner"), F.round("posterior", 5).alias("posterior"))
+    return got.select(F.col("unit").alias("l_orderkey"), F.col("comp").cast("long").alias("winner"), F.round("posterior", 6).alias("posterior"))
 
 
 @query("SELECT o_orderpriority, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) GROUP BY 1")
