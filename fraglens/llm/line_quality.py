@@ -2,11 +2,11 @@
 
 A line's key is the hash of its normalised form (lower case, digits as 0, white
 space runs as one space). For each host, the documents that have a line are
-counted, each document once whatever it repeats, and documents of exactly the
-same text as one, since copies of an article are not boilerplate. Lines in more
-than ``limit`` documents of their host are removed; a document is rejected if
-that leaves under ``least_words`` words, or under ``least_share`` of its words,
-and it has lost any. Base rules on words, symbols and repeats come with it.
+counted, each document once whatever it repeats; copies of one text under several
+ids count each. Lines in more than ``limit`` documents of their host are removed; a
+document is rejected if that leaves under ``least_words`` words, or under
+``least_share`` of its words, and it has lost any. Base rules on words, symbols and
+repeats come with it.
 
 All of it is DataFrame functions. Lines leave their document as a hash and a
 word count; they are made distinct by document, so that a hot line is dealt out,

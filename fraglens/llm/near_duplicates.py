@@ -3,17 +3,15 @@
 Words are told apart after ASCII lower-casing; a text of fewer words than a shingle
 is one shingle. Texts with equal sets are one row before anything is compared.
 Candidates are pairs whose 64-bit SimHash fingerprints, of the distinct shingles,
-are linked by the Golay code's keys (see simhash.py). Two sets of similarity 0.8 are
-some ten bits apart, and Golay keys that bridge ten bits of 64 with certainty would
-be in the thousands for each text, so that the fingerprints alone find the closer
-pairs only (of those at 0.80, 0.85 and 0.90 about 8, 17 and 33 %). So pairs that have
-a band of five MinHash values in common are candidates too: of 25 bands, a pair of
-similarity 0.8 shares none with probability 0.00005 (1 - (1 - 0.8**5)**25 is the
-recall), one of 0.85 with 0.000001. Connected candidates meet, and are linked only
-if the exact similarity of their whole sets reaches the threshold: a set is compared
-with all of its candidate group that are not yet in its component. A group beyond
-CHUNK sets or CHUNK_SHINGLES shingles is cut into chunks, and each pair of chunks is
-a task of its own. The links' components are found in Spark tables.
+are equal or linked by the Golay code's keys (see simhash.py). Two sets of similarity
+0.8 are some ten bits apart, and Golay keys that bridge ten bits of 64 with certainty
+would be in the thousands for each text, so that the fingerprints alone find the
+closer pairs only (of those at 0.80, 0.85 and 0.90 about 8, 17 and 33 %). So the
+buckets of MinHash bands are resolved too, as in minhash.py: of 50 bands of seven
+coordinates, a pair of similarity 0.8 shares none with probability 8e-6. A pair is
+linked only if the exact similarity of its whole sets reaches the threshold; sets meet
+pair by pair, and a bucket's members only its pivots. The links' components are found
+in Spark tables.
 
 Special cases: null and empty texts have the empty set and are alike; texts of any
 length are compared whole; a similarity of just 0.8 is a link; a null id takes part
@@ -28,71 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
+from . import minhash
 from . import text as T
-from .components import connected_components
+from .shingles import set_ids, shingle_sets
 from .simhash import near_links
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
 LEAST = (4, 5)
-BANDS, ROWS = 25, 5
 SLICE_BYTES = 2 << 20
-#: Sets of a candidate group in one chunk, and their shingles; a task compares two chunks.
-CHUNK, CHUNK_SHINGLES = 1024, 1 << 19
-_rng = np.random.RandomState(20240807)
-_FLIP, _FACTOR = (_rng.randint(0, 2**63 - 1, BANDS * ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
-
-
-def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct shingle fingerprints of one document after the other, bounds of the documents)."""
-    buf, starts = T.separated(raw, off)
-    buf = T.LOWER[buf]
-    w = T.Words(buf, starts, T.WHITE)
-    h = T.word_hashes(buf, w)
-    full = np.flatnonzero(T.within(w, size))
-    values, docs = [T.window_hashes(h, size)[full]], [w.doc[full]]
-    with np.errstate(over="ignore"):
-        for n in range(1, size):
-            short = np.flatnonzero(w.count == n)
-            acc = np.zeros(len(short), np.uint64)
-            for k in range(n):
-                acc = acc * np.uint64(T.WORD_BASE) + h[w.first[short] + k]
-            values.append(T.mix(acc))
-            docs.append(short)
-    value, doc = np.concatenate(values), np.concatenate(docs)
-    order = np.lexsort((value, doc))
-    value, doc = value[order], doc[order]
-    new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
-    value, doc = value[new], doc[new]
-    return value, np.searchsorted(doc, np.arange(len(off)))
-
-
-def set_ids(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint of each set."""
-    with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(T.mix(value ^ np.uint64(T.BYTE_BASE)), dtype=np.uint64)))
-        return T.mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
-
-
-def band_keys(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A key for each set and band; the keys of an empty set are of no values."""
-    some = np.flatnonzero(np.diff(bounds))
-    out = np.zeros((len(bounds) - 1, BANDS), np.uint64)
-    with np.errstate(over="ignore"):
-        for band in range(BANDS):
-            acc = np.full(len(bounds) - 1, band + 1, np.uint64)
-            for k in range(band * ROWS, (band + 1) * ROWS):
-                least = np.zeros(len(acc), np.uint64)
-                if len(some):
-                    least[some] = np.minimum.reduceat((value ^ _FLIP[k]) * _FACTOR[k], bounds[some])
-                acc = T.mix(acc * np.uint64(T.WORD_BASE) + least)
-            out[:, band] = acc
-    return out.view(np.int64)
 
 
 def set_fingerprints(value: np.ndarray, bounds: np.ndarray, step: int = 1 << 16) -> np.ndarray:
@@ -110,27 +57,6 @@ def set_fingerprints(value: np.ndarray, bounds: np.ndarray, step: int = 1 << 16)
     return packed.reshape(-1).view(np.int64) if len(packed) else np.zeros(0, np.int64)
 
 
-def verified_links(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each set, the number of the first one that it is linked to, directly or not, by pairs of the least similarity."""
-    n, size = len(bounds) - 1, np.diff(bounds)
-    number = np.unique(value, return_inverse=True)[1]
-    doc = np.repeat(np.arange(n), size)
-    root = np.arange(n)
-    mark = np.zeros(int(number.max()) + 1 if len(number) else 0, bool)
-    for i in range(n - 1):
-        if (root[i + 1 :] == root[i]).all():
-            continue
-        mine, rest = number[bounds[i] : bounds[i + 1]], slice(bounds[i + 1], None)
-        mark[mine] = True
-        common = np.bincount(doc[rest][mark[number[rest]]], minlength=n)
-        mark[mine] = False
-        near = np.flatnonzero((LEAST[1] * common >= LEAST[0] * (size + size[i] - common)) & (common > 0))
-        if len(near):
-            joined = np.unique(np.append(root[near], root[i]))
-            root[np.isin(root, joined)] = joined[0]
-    return root
-
-
 def content_of(text: str) -> Column:
     """Tells rows of one id apart."""
     return F.xxhash64(F.col(text).cast("string"))
@@ -140,51 +66,29 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     """(doc_id, content, sid) of all rows and (sid, root, least) of all sets."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), content_of(text_col).alias("content"))
 
-    def mapped(with_text: bool):
-        @B.lean
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in T.slices(batch, "text", SLICE_BYTES):
-                    raw, off, _ = T.buffers(part.column("text"))
-                    value, bounds = shingle_sets(raw, off)
-                    sid = pa.array(set_ids(value, bounds))
-                    if with_text:
-                        yield pa.RecordBatch.from_arrays([sid, part.column("text")], names=["sid", "text"])
-                    else:
-                        keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sid) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(value, bounds).reshape(-1)))
-                        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("content"), sid, pa.array(set_fingerprints(value, bounds)), pa.array(np.diff(bounds), pa.int64()), keys], names=["doc_id", "content", "sid", "fp", "size", "keys"])
-
-        return run
-
-    table = B.cut(rows.mapInArrow(mapped(False), "doc_id bigint, content bigint, sid bigint, fp bigint, size bigint, keys array<bigint>"))
-    distinct = B.cut(table.groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    bands = distinct.select("sid", F.explode("keys").alias("key"))
-    heads = bands.groupBy("key").agg(F.min("sid").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    banded = bands.join(heads, "key").filter("a < sid").select("a", F.col("sid").alias("b"))
-    # Sets of one fingerprint are linked to the first, and the first of linked fingerprints.
-    one = B.cut(distinct.groupBy("fp").agg(F.min("sid").alias("a")))
-    alike = distinct.join(one, "fp").filter("a < sid").select("a", F.col("sid").alias("b"))
-    close = near_links(one.select("fp")).withColumnsRenamed({"a": "x", "b": "y"}).join(one.withColumnRenamed("fp", "x"), "x").join(one.select(F.col("fp").alias("y"), F.col("a").alias("b")), "y").select("a", "b")
-    candidates = connected_components(banded.unionByName(alike).unionByName(close))
-    member = B.cut(candidates.select(F.col("node").alias("sid"), F.col("root").alias("part")))
-    sized = member.join(distinct.select("sid", "size"), "sid")
-    chunks = sized.groupBy("part").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("size") / CHUNK_SHINGLES)).cast("int").alias("k"))
-    texts = rows.mapInArrow(mapped(True), "sid bigint, text string").join(member.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.first("text").alias("text"))
-    own = F.pmod(F.xxhash64("sid"), F.col("k")).cast("int")
-    placed = texts.join(member, "sid").join(chunks, "part").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    placed = placed.select("sid", "text", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def verify(met: pa.Table) -> pa.Table:
-        sid = np.asarray(met.column("sid").combine_chunks())
-        raw, off, _ = T.buffers(met.column("text"))
-        root = verified_links(*shingle_sets(raw, off))
-        moved = root != np.arange(len(root))
-        out = pa.table({"a": pa.array(sid[root[moved]]), "b": pa.array(sid[moved])})
-        B.release()
-        return out
-
-    linked = connected_components(placed.groupBy("part", "i", "j").applyInArrow(verify, "a bigint, b bigint"))
-    roots = distinct.select("sid", "least").join(linked.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "least")
+    @B.lean
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, n = zstandard.ZstdCompressor(level=1), minhash.BANDS
+        for batch in batches:
+            for part in T.slices(batch, "text", SLICE_BYTES):
+                raw, off, _ = T.buffers(part.column("text"))
+                value, bounds = shingle_sets(raw, off, SHINGLE)
+                keys = minhash.band_keys(minhash.sketches(value, bounds))
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * n), pa.array(keys.reshape(-1)))
+                view = raw.tobytes()
+                body = pa.array([press.compress(view[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())
+                columns = {"doc_id": part.column("doc_id"), "content": part.column("content"), "sid": pa.array(set_ids(value, bounds)), "fp": pa.array(set_fingerprints(value, bounds)), "size": pa.array(np.diff(bounds), pa.int64()), "keys": listed, "body": body}
+                yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
+
+    table = B.cut(rows.mapInArrow(mapped, "doc_id bigint, content bigint, sid bigint, fp bigint, size bigint, keys array<bigint>, body binary"))
+    distinct = B.cut(table.groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size")))
+    some = distinct.filter("size > 0").select("sid", "fp")
+    # Sets of one fingerprint are tried with the first, and the firsts of linked fingerprints with each other.
+    one = B.cut(some.groupBy("fp").agg(F.min("sid").alias("a")))
+    alike = some.join(one, "fp").filter("a < sid").select("a", F.col("sid").alias("b"))
+    close = near_links(one.select("fp")).withColumnsRenamed({"a": "x", "b": "y"}).join(one.withColumnRenamed("fp", "x"), "x").join(one.select(F.col("fp").alias("y"), F.col("a").alias("b")), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    root = minhash.components(table, SHINGLE, LEAST, B.cut(alike.unionByName(close).distinct()))
+    roots = distinct.select("sid", "least").join(root.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "least")
     return table.select("doc_id", "content", "sid"), roots
 
 

@@ -56,10 +56,10 @@ def corpus(seed=4):
     return rows
 
 
-@pytest.mark.parametrize("slots,large,bands", [(64, 256, 50), (8, 16, 350)])
-def test_against_brute_force(spark, monkeypatch, slots, large, bands):
+@pytest.mark.parametrize("block,large,bands", [(512, 4096, 50), (7, 30, 350), (5, 10_000, 350)])
+def test_against_brute_force(spark, monkeypatch, block, large, bands):
     """With one coordinate a band, the many that share a passage meet in large buckets."""
-    monkeypatch.setattr(M, "SLOTS", slots)
+    monkeypatch.setattr(M, "BLOCK", block)
     monkeypatch.setattr(M, "LARGE", large)
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as sid", "2 as size", "'k' as key").repartition(3)

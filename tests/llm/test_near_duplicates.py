@@ -1,7 +1,5 @@
 import random
 
-import pytest
-
 import corpus_pipeline
 from fraglens.llm import near_duplicates as N
 
@@ -42,9 +40,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("chunk", [1024, 2])
-def test_against_brute_jaccard(spark, monkeypatch, chunk):
-    monkeypatch.setattr(N, "CHUNK", chunk)
+def test_against_brute_jaccard(spark):
     rows = corpus()
     got = N.near_components(spark.createDataFrame([*rows.items(), (900, rows[900])], "doc_id long, text string").repartition(3)).collect()
     assert len(got) == len(rows) + 1
