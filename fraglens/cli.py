@@ -5,10 +5,11 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from . import quantify as Q
 from .config import FLAGS, dump, resolve
-from .operators import sequences
+from .operators import sequences, sweeps
 from .operators import simulate as M
 from .operators.common import cut
 from .sources import annotation as N
@@ -49,6 +50,9 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--genome", help="FASTA of the references; without it, reads are of random bases with the motifs of splice sites")
     s.add_argument("--fastq", help="folder for the reads")
     s.add_argument("--bam", help="folder for the alignments as binary files, by name")
+    w = sub.add_parser("sweep", help="simulations and runs over a grid of settings; finished points are skipped")
+    for name in ("--index", "--references", "--grid", "--out"):
+        w.add_argument(name, required=True, help="JSON text: a value, a list, or start, stop and step for each setting" if name == "--grid" else None)
     e = sub.add_parser("export", help="tables of a folder to tab-separated text or Parquet")
     e.add_argument("--tables", required=True)
     e.add_argument("--out", required=True)
@@ -104,6 +108,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         elif a.annotated:
             lines = spark.read.text(a.alignments) if sam else results.sam_lines(rows)
             results.annotated_sam(lines, got.annotations).write.text(a.annotated)
+    elif a.command == "sweep":
+        t, lengths = cut(spark.read.parquet(f"{a.index}/transcripts")), N.read_reference_lengths(spark, a.references)
+        done, there = sweeps.sweep(spark, index_tables.read_text(spark, a.grid), f"{a.out}/points", lambda point: sweeps.simulated_point(t, lengths, point))
+        sinks.write_table(sweeps.sweep_summary(sweeps.sweep_results(spark, f"{a.out}/points")).withColumn("settings", F.to_json("settings")), f"{a.out}/summary", "tsv", "overwrite")
+        print(f"{done} points run, {there} there already")
     elif a.command == "sim":
         _simulate(spark, a)
     else:

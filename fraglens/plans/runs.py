@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import bias as B
+from ..operators import intervals as I
 from ..operators import report, resolution, sequences, stamps
 from ..operators import loci as L
 from ..operators.common import shared_folder
@@ -218,3 +219,16 @@ def transcript_sequences(spark, d):
     both = sequences.transcript_sequences(t, chunks, True, 50).withColumnRenamed("sequence", "spliced").join(sequences.transcript_sequences(t, chunks, False, 50).withColumnRenamed("sequence", "span"), "t_id")
     part = lambda i, kind: F.split("t_id", "-")[i].cast(kind)
     return both.select(part(0, "long").alias("l_orderkey"), part(1, "int").alias("l_linenumber"), part(2, "long").alias("l_partkey"), "spliced", "span")
+
+
+# -- groups -----------------------------------------------------------------
+
+
+@query("""WITH x AS (SELECT DISTINCT l_returnflag AS ref, l_suppkey % 7 AS strand, l_partkey * 100 AS s, l_partkey * 100 + l_quantity::INT * 3 AS z, l_orderkey AS m FROM lineitem WHERE l_linenumber = 1),
+w AS (SELECT *, max(z) OVER (PARTITION BY ref, strand ORDER BY s, z, m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY ref, strand ORDER BY s, z, m ROWS UNBOUNDED PRECEDING) AS g FROM w)
+SELECT ref, strand, min(s) AS lo, max(z) AS hi, string_agg(CAST(m AS VARCHAR), ',' ORDER BY s, z, m) AS members FROM g GROUP BY ref, strand, g""")
+def overlap_groups(spark, d):
+    """Overlapping spans of one strand, with their members."""
+    x = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_returnflag").alias("ref"), (F.col("l_suppkey") % 7).alias("strand"), (F.col("l_partkey") * 100).alias("lo"), (F.col("l_partkey") * 100 + F.col("l_quantity").cast("int") * 3).alias("hi"), F.col("l_orderkey").alias("m")).distinct()
+    return I.overlap_groups(x, ["ref", "strand"], "lo", "hi", "m").withColumn("members", F.array_join(F.transform("members", lambda m: m.cast("string")), ","))

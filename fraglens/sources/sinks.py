@@ -35,9 +35,9 @@ def markdown(df: DataFrame, title: str, columns: list[str], order: list[str], di
     return first.unionByName(body).orderBy("part", *[f"_{i}" for i in range(len(order))]).select("part", "line")
 
 
-def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
+def write_table(df: DataFrame, path: str, kind: str = "parquet", mode: str = "error") -> None:
     """Parquet with zstandard, or tab-separated text with a header."""
     if kind == "tsv":
-        df.write.option("sep", "\t").option("header", True).csv(path)
+        df.write.mode(mode).option("sep", "\t").option("header", True).csv(path)
     else:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.mode(mode).option("compression", "zstd").parquet(path)
