@@ -14,7 +14,7 @@ from fraglens.plans import catalogue
 HEADLINE = [
     "hist_dense", "hist_moments", "dirichlet_log_prob", "ecdf_eff_len", "tpm", "gene_rollup", "metrics_overall", "metrics_stratified", "spearman_ties", "group_summary", "run_grouping", "fragment_class", "overlap_join", "overlap_apportion",
     "containment_top1", "merge_spans", "anchor_cluster", "point_in_partition", "set_merge", "connected_components", "equivalence_classes", "prune_by_pool", "lse_mean", "em_fixed_iter", "em_map_winner", "semi_join", "three_way_inner",
-    "best_hit", "sliding_windows", "set_algebra", "expected_observed", "mixture_em_k", "dense_ids",
+    "best_hit", "sliding_windows", "set_algebra", "expected_observed", "mixture_em_k", "dense_ids", "simulated_quant",
 ]
 
 
