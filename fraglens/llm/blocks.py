@@ -172,14 +172,13 @@ def n_buckets(blocks: DataFrame) -> int:
 
 
 def split_sorted(keys: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
-    """(bucket, slice) of sorted uint64 keys for n buckets by their leading bits, without empty ones."""
-    width = (1 << 64) // n + 1
-    ends = np.searchsorted(keys, np.array([min(i * width, T.MASK64) for i in range(1, n)], np.uint64))
-    lo = 0
-    for b, hi in enumerate([*ends.tolist(), len(keys)]):
-        if hi > lo:
-            yield b, slice(lo, hi)
-        lo = hi
+    """(bucket, slice) of sorted uint64 keys for n buckets by their leading bits, without empty ones: the work is that of the keys, however many buckets there are."""
+    if not len(keys):
+        return
+    bucket = keys // np.uint64((1 << 64) // n + 1) if n > 1 else np.zeros(len(keys), np.uint64)
+    head = np.flatnonzero(np.diff(bucket, prepend=~bucket[:1]))
+    for lo, hi in zip(head.tolist(), [*head[1:].tolist(), len(keys)], strict=True):
+        yield int(bucket[lo]), slice(lo, hi)
 
 
 def from_blocks(blocks: DataFrame, make: Callable[[Block], Iterator[dict]], schema: str, **options) -> DataFrame:
