@@ -10,10 +10,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import resolve
 from ..functions import scalar as S
 from ..operators import bias as B
 from ..operators import intervals as I
-from ..operators import report, resolution, sequences, stamps
+from ..operators import pairing, report, resolution, sequences, stamps
 from ..operators import loci as L
 from ..operators.common import shared_folder
 from ..sources import bam
@@ -232,3 +233,38 @@ def overlap_groups(spark, d):
     """Overlapping spans of one strand, with their members."""
     x = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_returnflag").alias("ref"), (F.col("l_suppkey") % 7).alias("strand"), (F.col("l_partkey") * 100).alias("lo"), (F.col("l_partkey") * 100 + F.col("l_quantity").cast("int") * 3).alias("hi"), F.col("l_orderkey").alias("m")).distinct()
     return I.overlap_groups(x, ["ref", "strand"], "lo", "hi", "m").withColumn("members", F.array_join(F.transform("members", lambda m: m.cast("string")), ","))
+
+
+# -- molecules --------------------------------------------------------------
+
+_SIDE = "SELECT l_orderkey AS q, l_linenumber AS i, min(l_suppkey % 5) AS t FROM lineitem WHERE l_returnflag = '{}' GROUP BY 1, 2"
+
+
+@query(f"""WITH f AS ({_SIDE.format('A')}), s AS ({_SIDE.format('R')}), shared AS (SELECT f.q, f.i AS a, s.i AS b FROM f JOIN s ON s.q = f.q AND s.t = f.t),
+x AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM shared h WHERE h.q = f.q AND h.a = f.i)), y AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM shared h WHERE h.q = s.q AND h.b = s.i)),
+every AS (SELECT 0 AS k, q, a, b FROM shared UNION ALL SELECT 1, x.q, x.i, y.i FROM x JOIN y ON y.q = x.q UNION ALL SELECT 2, q, i, NULL FROM x WHERE q NOT IN (SELECT q FROM y) UNION ALL SELECT 2, q, NULL, i FROM y WHERE q NOT IN (SELECT q FROM x))
+SELECT q AS l_orderkey, (row_number() OVER (PARTITION BY q ORDER BY k, a, b) - 1)::INTEGER AS hit, a AS first, b AS second FROM every""")
+def paired_hits(spark, d):
+    """Mates of molecules paired by shared transcripts, the rest crossed; returned and accepted lines are the mates, on references of their own."""
+    li = table(spark, d, "lineitem")
+
+    def side(flag: str) -> DataFrame:
+        g = li.filter(F.col("l_returnflag") == flag).groupBy(F.col("l_orderkey").cast("string").alias("qname"), F.col("l_linenumber").cast("int").alias("i")).agg(F.min(F.col("l_suppkey") % 5).cast("int").alias("t"))
+        return g.select("qname", "i", F.lit(flag).alias("ref"), F.lit(0).alias("pos"), F.array("t").alias("ts"))
+
+    got = pairing.pair_hits(side("A"), side("R"))
+    return got.select(F.col("qname").cast("long").alias("l_orderkey"), "hit", "first", "second")
+
+
+@query(f"""WITH c AS (SELECT l_orderkey AS u, l_suppkey AS comp, -0.5 * min(l_linenumber) - ln(1 + l_suppkey % 7) + ln((l_suppkey * 13 % 17 + 1) / 100.0) AS l FROM lineitem GROUP BY 1, 2 UNION ALL SELECT DISTINCT l_orderkey, {L.GDNA}, -2.0 + ln(0.3) FROM lineitem WHERE l_orderkey % 2 = 0)
+SELECT u AS l_orderkey, comp, count(*) OVER (PARTITION BY u)::INTEGER AS n_candidates, round(exp(l) / sum(exp(l)) OVER (PARTITION BY u), 9) AS posterior, round(exp(l) / sum(exp(l)) OVER (PARTITION BY u), 9) AS weight FROM c""")
+def fractional_assignment(spark, d):
+    """Posteriors of units over transcripts and the genomic component, as the run assigns them fractionally."""
+    each = table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg((-0.5 * F.min("l_linenumber")).alias("ll"))
+    cand = F.struct(F.col("l_suppkey").cast("int").alias("t_index"), "ll", (-F.log(1.0 + F.col("l_suppkey") % 7)).alias("bias"), F.lit(0).alias("count_col"))
+    genomic = F.when(F.col("unit") % 2 == 0, -2.0).otherwise(float("-inf"))
+    units = each.groupBy(F.col("l_orderkey").alias("unit")).agg(F.collect_list(cand).alias("cands")).select("unit", F.lit(0).alias("locus_id"), F.lit(0).alias("splice_type"), genomic.alias("gdna_log_lik"), "cands")
+    theta = table(spark, d, "supplier").select(F.lit(0).alias("locus_id"), F.col("s_suppkey").cast("int").alias("comp"), ((F.col("s_suppkey") * 13 % 17 + 1) / 100.0).alias("theta"))
+    theta = theta.unionByName(spark.range(1).select(F.lit(0).alias("locus_id"), F.lit(L.GDNA).alias("comp"), F.lit(0.3).alias("theta")))
+    got = L.assign(units, theta, resolve({"assignment_mode": "fractional"})[0].em)
+    return got.select(F.col("unit").alias("l_orderkey"), F.col("comp").cast("long").alias("comp"), "n_candidates", F.round("posterior", 9).alias("posterior"), F.round("weight", 9).alias("weight"))
