@@ -189,9 +189,9 @@ PROFILES = B.BiasProfiles((300,), ((1.6, 1.2, 0.8, 0.4), (0.5, 1.5, 1.5, 0.5)))
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, 50 + l_partkey % 500 AS tl, l_suppkey % (50 + l_partkey % 500) AS s, l_quantity::INT AS fl FROM lineitem),
 one AS (SELECT tl, i, CASE WHEN tl <= 300 THEN [1.6, 1.2, 0.8, 0.4] ELSE [0.5, 1.5, 1.5, 0.5] END::DOUBLE[] AS p, i * 4.0 / tl AS t FROM (SELECT DISTINCT tl FROM x), range(0, 550) r(i) WHERE i <= tl),
 b AS (SELECT tl, i, (coalesce(list_sum(p[1:j]), 0) + (t - j) * p[j + 1]) * tl / 4.0 AS b FROM (SELECT *, least(floor(t), 3)::INT AS j FROM one)),
-eff AS (SELECT p.tl, p.fl, greatest(sum(hi.b - lo.b) / p.fl, 1) AS n FROM (SELECT DISTINCT tl, fl FROM x) p JOIN b lo ON lo.tl = p.tl AND lo.i <= p.tl - p.fl JOIN b hi ON hi.tl = p.tl AND hi.i = lo.i + p.fl GROUP BY 1, 2)
-SELECT l_orderkey, l_linenumber, round((z.b - a.b) / (least(s + x.fl, x.tl) - s), 6)::DOUBLE AS weight, round(coalesce(n, 1), 5)::DOUBLE AS effective_length
-FROM x JOIN b a ON a.tl = x.tl AND a.i = s JOIN b z ON z.tl = x.tl AND z.i = least(s + x.fl, x.tl) LEFT JOIN eff ON eff.tl = x.tl AND eff.fl = x.fl""")
+c AS (SELECT tl, list(b ORDER BY i) AS b, list(t ORDER BY i) AS t FROM (SELECT tl, i, b, sum(b) OVER (PARTITION BY tl ORDER BY i ROWS UNBOUNDED PRECEDING) AS t FROM b) GROUP BY tl)
+SELECT l_orderkey, l_linenumber, round((c.b[least(x.s + fl, x.tl) + 1] - c.b[x.s + 1]) / (least(x.s + fl, x.tl) - x.s), 6)::DOUBLE AS weight,
+  round(CASE WHEN fl > x.tl THEN 1 ELSE greatest((c.t[x.tl + 1] - c.t[fl] - c.t[x.tl - fl + 1]) / fl, 1) END, 5)::DOUBLE AS effective_length FROM x JOIN c ON c.tl = x.tl""")
 def bias_weights(spark, d):
     """Weights and effective lengths of fragments under two profiles, against prefix sums of every base."""
     length, l = F.lit(50) + F.col("l_partkey") % 500, F.col("l_quantity").cast("int")
