@@ -8,7 +8,8 @@ Special cases, for all stages: a null text is no language and goes with the firs
 stage, as does an empty one; a later stage that is given any keeps them; texts of any
 length are read whole; every row is judged by itself, whatever rows share its id or
 have none; repeated rows are near-duplicates of each other; an empty table stays one;
-other columns than those of documents are not carried, whatever their names.
+other columns than those of documents are not carried, whatever their names. Every
+stage sets the session to small batches between Spark and Python.
 """
 
 from __future__ import annotations
@@ -25,21 +26,31 @@ from fraglens.llm.queries import tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if no language is seen in it (no letters, null) or the best one has under this probability.
 LEAST_LANGUAGE_SCORE = 0.3
+#: Rows of a batch between Spark and Python: batches of long texts are held several times over, by either side.
+ROWS_PER_BATCH = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Sets the session's batch size for the stage that follows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages."""
+    _small_batches(spark)
     got = language_gru.identify(docs, carry=tuple(COLUMNS))
     return got.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (Jaccard similarity of five-word shingles 0.8 or more): that with the smallest id; a row without an id only where no other is there."""
+    _small_batches(spark)
     return near_duplicates.first_of_groups(docs).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of 13 or more words that an earlier document has."""
+    _small_batches(spark)
     cleaned = substring_dedup.substring_dedup(docs, carry=("lang", "source", "n_chars"))
     n = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", n).select(*COLUMNS)
@@ -47,6 +58,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a verbatim run of ten words of a benchmark item, or the whole of a shorter one."""
+    _small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     got = decontaminate.decontaminate(docs, benchmark, carry=("text", "lang", "source", "n_chars"))
     return got.filter(~F.col("contaminated")).select(*COLUMNS)
@@ -54,6 +66,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256)"""
+    _small_batches(spark)
     got = bpe.bpe_round_trip(docs, tokenizer_path())
     return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
