@@ -12,7 +12,7 @@ below counts only symbols that the order above has not seen. A text's score is
 log10 of the probability of all its bytes and its end; with nothing to learn from,
 symbols are uniform.
 
-The unigram base counts words exactly: blocks of documents ask hash buckets for
+The unigram base counts words, A-Z lower-cased, exactly: blocks of documents ask hash buckets for
 the training counts of their distinct words (see blocks.py), so a frequent word
 is one entry for each block. Words are told apart by 64-bit fingerprints.
 
@@ -158,7 +158,7 @@ _ANSWER = "kind int, block_id long, bucket int, n long, counts binary, total lon
 def _requests(block: B.Block, n: int, modulus: int, rest: int):
     learned = np.array([not in_fold(x, modulus, rest) for x in block.ids], bool)
     w = T.Words(block.buf, block.starts, GAPS)
-    keys, number = np.unique(T.word_hashes(block.buf, w), return_inverse=True)
+    keys, number = np.unique(T.word_hashes(T.LOWER[block.buf], w), return_inverse=True)
     counts = np.bincount(number[learned[w.doc]], minlength=len(keys)).astype(np.int64)
     for bucket, s in B.split_sorted(keys, n):
         yield {"kind": 0, "bucket": bucket, "block_id": block.block_id, "n": s.stop - s.start, "keys": B.squeeze_sorted(keys[s]), "counts": B.squeeze(counts[s])}
@@ -240,7 +240,7 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def score(block: B.Block, told: list[dict]) -> pa.Table:
         w = T.Words(block.buf, block.starts, GAPS)
-        keys, number = np.unique(T.word_hashes(block.buf, w), return_inverse=True)
+        keys, number = np.unique(T.word_hashes(T.LOWER[block.buf], w), return_inverse=True)
         counts = np.zeros(len(keys), np.int64)
         by = {(x["kind"], x["bucket"]): x["counts"] for x in told}
         for bucket, s in B.split_sorted(keys, n):

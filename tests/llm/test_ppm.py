@@ -41,6 +41,19 @@ def test_base_and_rows(spark):
     assert all(r.score < 0 for r in got)
 
 
+def test_base_folds_ascii_case_only(spark):
+    """The base's words are told apart without the case of A-Z; other letters, and the model's bytes, keep theirs."""
+    rows = [(0, "The THE the Über über"), (2, "tHe ÜBER"), (5, None), (3, "the the the"), (4, "THE THE THE"), (7, "the the")]
+    got = {r.doc_id: r for r in ppm.ppm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    c = Counter(w for d, t in rows if not got[d].held_out for w in [*(re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in (t or "").split()), None])
+    assert not any(r.held_out for r in got.values()) and c["the"] == 12 and (c["Über"], c["über"]) == (2, 1)
+    n, v = sum(c.values()), len(c)
+    for d, words in ((0, ["the"] * 3 + ["Über", "über", None]), (3, ["the"] * 3 + [None]), (4, ["the"] * 3 + [None])):
+        assert got[d].train_tokens == n and got[d].n_known == len(words)
+        assert math.isclose(got[d].base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in words), abs_tol=1e-9)
+    assert got[3].score > got[4].score
+
+
 @pytest.mark.parametrize("rows", [[], [(2, "only held out")]])
 def test_nothing_to_learn(spark, rows):
     got = ppm.ppm_scores(spark.createDataFrame(rows, "doc_id long, text string"), modulus=1, rest=0).collect()
