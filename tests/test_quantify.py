@@ -1,6 +1,7 @@
 """Simulated fragments through the whole run, and the stages on cases worked out by hand."""
 
 import dataclasses
+import random
 
 import numpy as np
 import pytest
@@ -158,3 +159,18 @@ def test_truncated_normal_fills_its_bounds(spark):
     assert x.w.mean() == pytest.approx(200, abs=1) and x.w.std() == pytest.approx(30, rel=0.03)
     assert set(x.t) == {280, 281, 282, 283} and (x.t == 280).mean() < 0.5
     assert set(x.o) == {7}
+
+
+def test_posterior_mean_in_any_order(spark):
+    """The mean is that of the exact sums, to the last bit, in whatever order its posteriors are added."""
+    from fraglens.operators import report
+
+    none = spark.createDataFrame([], "t_index int, count_col int, n long")
+    hundredths = [4] * 30 + [8] * 54 + [10] * 28 + [5] * 32
+    n, nn = sum(hundredths), sum(x * x for x in hundredths)
+    for seed in range(6):
+        order = hundredths[:]
+        random.Random(seed).shuffle(order)
+        rows = spark.createDataFrame([(7, k % 3, 1.0, x / 100) for k, x in enumerate(order)], "comp int, count_col int, weight double, posterior double").repartition(3)
+        got = report.transcript_counts(none, rows).collect()
+        assert [(r.t_index, r.posterior_mean) for r in got] == [(7, (nn / 1e4) / (n / 1e2))]
