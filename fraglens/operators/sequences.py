@@ -145,12 +145,14 @@ def block_sequences(blocks: DataFrame, chunks: DataFrame, keys: list[str], size:
     """(keys, sequence): the bases of the blocks (keys, ref, start, end), joined in the order of their starts.
 
     Bases beyond the reference are left out. Rows of one key meet in one row, so a key's blocks must be of bounded length.
+    Blocks and chunks meet in a sort-merge join: Spark takes chunks that were made by an explode for much smaller than they
+    are, and would broadcast a whole genome through the driver.
     """
     inside = blocks.filter((F.col("end") > F.col("start")) & (F.col("start") >= 0))
     each = inside.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))))
     low = F.greatest(F.col("start"), F.col("chunk") * size)
     piece = F.substring("sequence", (low - F.col("chunk") * size + 1).cast("int"), (F.least(F.col("end"), (F.col("chunk") + 1) * size) - low).cast("int"))
-    got = each.join(chunks, ["ref", "chunk"]).select(*keys, F.struct("start", low.alias("low"), piece.alias("piece")).alias("p"))
+    got = each.join(chunks.hint("merge"), ["ref", "chunk"]).select(*keys, F.struct("start", low.alias("low"), piece.alias("piece")).alias("p"))
     return got.groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("ps")).select(*keys, F.array_join(F.transform("ps", lambda p: p.piece), "").alias("sequence"))
 
 

@@ -217,3 +217,12 @@ def test_genomic_fragments_follow_their_regions(spark):
     assert {r.r for r in by} == set(shares) and sum(r.n for r in by) == 6000
     for r in by:
         assert r.p == pytest.approx(shares[r.r], abs=0.05)
+
+
+def test_chunks_are_not_broadcast(spark):
+    """Chunks made by an explode look small to the planner, however large they are; they meet their blocks in a sort-merge join."""
+    runs = spark.createDataFrame([("c", 0, "ACGT" * 10)], "ref string, start long, sequence string")
+    t = spark.createDataFrame([("t", "c", 1, 9, 1, [(1, 3), (6, 9)])], "t_id string, ref string, start int, end int, strand int, exons array<struct<start:int,end:int>>")
+    got = Q.transcript_sequences(t, Q.chunked(runs, 5), True, 5)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [r.sequence for r in got.collect()] == ["CGGTA"]
