@@ -21,12 +21,13 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.common import shared_folder
+from ..operators.common import cut, shared_folder
 from .annotation import ALIGNMENT_SCHEMA
 
 # The first bytes of a block, the empty block that ends a file, operations of the binary CIGAR, letters of packed bases, and struct codes of the types of tags.
@@ -116,8 +117,14 @@ def tags_at(raw: bytes) -> int:
 
 def tags(raw: bytes) -> dict:
     """Values by name."""
+    return dict(_tags(raw[tags_at(raw) :]))
+
+
+@lru_cache(1 << 14)
+def _tags(raw: bytes) -> dict:
+    """Values by name of the tags of a record; neighbouring records often have the same ones."""
     out = {}
-    for name, kind, at, end in tag_spans(raw, tags_at(raw)):
+    for name, kind, at, end in tag_spans(raw, 0):
         if kind == "A":
             out[name] = chr(raw[at])
         elif kind in "ZH":
@@ -129,13 +136,17 @@ def tags(raw: bytes) -> dict:
     return out
 
 
+@lru_cache(1 << 14)
+def _spelled(ops: tuple[int, ...]) -> str:
+    return "".join(f"{x >> 4}{OPERATIONS[x & 15]}" for x in ops) or "*"
+
+
 def record(raw: bytes, refs: list[str]) -> tuple:
     """A row of the alignment schema; NM defaults to 0, NH to 1, HI to -1."""
     ref, pos, n_name, mapq, _, n_cigar, flag, _, mate, mate_pos, _ = struct.unpack_from("<iiBBHHHiiii", raw)
     name = raw[32 : 31 + n_name].decode()
-    t = tags(raw)
-    ops = t.get("CG", struct.unpack_from(f"<{n_cigar}I", raw, 32 + n_name))
-    cigar = "".join(f"{x >> 4}{OPERATIONS[x & 15]}" for x in ops) or "*"
+    t = _tags(raw[tags_at(raw) :])
+    cigar = _spelled(t.get("CG", struct.unpack_from(f"<{n_cigar}I", raw, 32 + n_name)))
     place = lambda k: refs[k] if k >= 0 else "*"
     text = lambda x: x if isinstance(x, str) else None
     return name, flag, place(ref), pos, mapq, cigar, place(mate), mate_pos, t.get("NM", 0), t.get("NH", 1), t.get("HI", -1), text(t.get("XS")), text(t.get("ts"))
@@ -169,20 +180,29 @@ def tag_bytes(name: str, kind: str, value) -> bytes:
     return name.encode() + kind.encode() + packed
 
 
+_tag_bytes = lru_cache(1 << 14, typed=True)(tag_bytes)
+
+
+@lru_cache(1 << 14)
+def _operations(cigar: str) -> tuple[int, bytes, int]:
+    """(number, packed operations, bases of the reference, 1 at least)."""
+    ops = [(int(n), OPERATIONS.index(o)) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
+    return len(ops), struct.pack(f"<{len(ops)}I", *(n << 4 | o for n, o in ops)), sum(n for n, o in ops if o in (0, 2, 3, 7, 8)) or 1
+
+
 def encode(row: dict, refs: dict[str, int]) -> bytes:
     """A record of an alignment row; ``seq`` and ``qual`` (Phred + 33) may be missing or ``*``."""
-    ops = [(int(n), OPERATIONS.index(o)) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", row["cigar"] or "")]
+    n_ops, ops, span = _operations(row["cigar"] or "")
     seq, qual = (row.get(c) or "*" for c in ("seq", "qual"))
     seq = "" if seq == "*" else seq
     codes = [BASES.index(b) if b in BASES else 15 for b in seq.upper()] + [0] * (len(seq) % 2)
     name = (row["qname"] or "*").encode() + b"\0"
-    span = sum(n for n, o in ops if o in (0, 2, 3, 7, 8)) or 1
     pos = row["pos"]
-    head = struct.pack("<iiBBHHHiiii", refs.get(row["ref"], -1), pos, len(name), row["mapq"], reg2bin(pos, pos + span) if pos >= 0 else 4680, len(ops), row["flag"], len(seq), refs.get(row["mate_ref"], -1), row["mate_pos"], 0)
-    out = [head, name, struct.pack(f"<{len(ops)}I", *(n << 4 | o for n, o in ops)), bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2])), b"\xff" * len(seq) if qual == "*" else bytes(ord(q) - 33 for q in qual)]
+    head = struct.pack("<iiBBHHHiiii", refs.get(row["ref"], -1), pos, len(name), row["mapq"], reg2bin(pos, pos + span) if pos >= 0 else 4680, n_ops, row["flag"], len(seq), refs.get(row["mate_ref"], -1), row["mate_pos"], 0)
+    out = [head, name, ops, bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2])), b"\xff" * len(seq) if qual == "*" else bytes(ord(q) - 33 for q in qual)]
     for tag, kind, c in (("NM", "i", "nm"), ("NH", "i", "nh"), ("HI", "i", "hi"), ("XS", "A", "xs"), ("ts", "A", "ts")):
         if row.get(c) is not None and not (c == "hi" and row[c] < 0):
-            out.append(tag_bytes(tag, kind, row[c]))
+            out.append(_tag_bytes(tag, kind, row[c]))
     return b"".join(out)
 
 
@@ -512,15 +532,18 @@ def encoded(alignments: DataFrame, references: list[tuple[str, int]]) -> DataFra
 
 
 def write_bam(records: DataFrame, header: Header, path: str, order: list[str]) -> None:
-    """A folder of files, part-00000.bam and so on, each whole; one after the other they hold the records (column ``raw``) in the order."""
+    """A folder of files, part-00000.bam and so on, each whole; one after the other they hold the records (column ``raw``) in the order.
+
+    The records are made once, in the checkpoint folder: the order's ranges are found from a sample, a pass over all rows before the one that writes.
+    The number of ranges is given, since Spark would join small ones by their bytes, and most of the time goes into compression.
+    """
     spark, head = records.sparkSession, header.data()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [head], len(head)
         row = lambda: pa.RecordBatch.from_arrays([pa.array([deflate(b"".join(held))], pa.binary())], names=["value"])
         for batch in batches:
-            for raw in batch.column("raw"):
-                b = raw.as_py()
+            for b in batch.column("raw").to_pylist():
                 held += [struct.pack("<i", len(b)), b]
                 size += 4 + len(b)
                 if size >= ROW:
@@ -529,7 +552,8 @@ def write_bam(records: DataFrame, header: Header, path: str, order: list[str]) -
         if held:
             yield row()
 
-    ordered = records.repartitionByRange(*order).sortWithinPartitions(*order).select("raw")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ordered = cut(records.select(*order, "raw")).repartitionByRange(n, *order).sortWithinPartitions(*order).select("raw")
     ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", END.decode("latin-1")).text(path)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

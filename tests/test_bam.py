@@ -3,6 +3,7 @@
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 
 from fraglens.sources import annotation as N
@@ -132,3 +133,20 @@ def test_encoding_of_rows(spark):
     assert sorted(back, key=str) == sorted(rows, key=str)
     assert bam.sequence(raws(1)[0])[0].strip("ACGTN") == ""
     assert bam.reg2bin(0, 1) == 4681 and bam.reg2bin(0, 1 << 29) == 0 and bam.reg2bin((1 << 14) - 1, (1 << 14) + 1) == 585
+
+
+def test_records_are_made_once(spark, tmp_path):
+    """Ranges of the order come from a sample; what makes the records does not run for that as well."""
+    made = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([(f"q{k}", k) for k in range(500)], "qname string, k int").repartition(3)
+    row = {"flag": 1, "ref": "c", "pos": 5, "mapq": 9, "cigar": "10M", "mate_ref": "*", "mate_pos": -1}
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            raws = [bam.encode(row | {"qname": q}, {"c": 0}) for q in batch.column("qname").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(raws, pa.binary())], names=["k", "raw"])
+
+    bam.write_bam(rows.mapInArrow(run, "k int, raw binary"), bam.Header("", [("c", 1000)]), f"{tmp_path}/x", ["k"])
+    assert made.value == 500
+    assert [r.qname for r in bam.read_bam(spark, f"{tmp_path}/x").collect()] and bam.read_bam(spark, f"{tmp_path}/x").count() == 500
