@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import intervals as I
+from .common import cut
 
 
 def values(spec: Any) -> list:
@@ -119,7 +120,7 @@ def simulated_point(transcripts: DataFrame, references: DataFrame, point: dict[s
 
     t = transcripts.withColumn("abundance", told("abundance_", F.lit(1.0)))
     t = t.withColumn("nrna_abundance", told("nascent_", F.when(F.size("exons") > 1, F.col("abundance")).otherwise(0.0)))
-    rows = M.paired_records(M.fragments(t, references, *sizes.values(), sim), sim.read_length)
+    rows = cut(M.paired_records(M.fragments(t, references, *sizes.values(), sim), sim.read_length))
     got = Q.quantify(rows, transcripts, config)
     truth = M.truth(rows)
     seen = got.tables["quant"].select(F.lit("mrna").alias("pool"), F.col("transcript_id").alias("t_id"), F.col("count").alias("observed"))
