@@ -189,6 +189,8 @@ def components(table: DataFrame, shingle: int, least: tuple[int, int], more: Dat
     bands = B.cut(distinct.select("sid", "size", F.explode("keys").alias("key")))
     heads = B.cut(bands.groupBy("key").agg(F.min(F.struct("sid", "size")).alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head"))
     members = B.cut(bands.join(heads, "key"))
+    del bands, heads
+    B.let_go(table.sparkSession)
     first = members.filter((F.col("head.sid") < F.col("sid")) & _may("size", "head.size", least)).groupBy(F.col("sid").alias("b")).agg(F.min("head.sid").alias("a")).select("a", "b")
     some = members.select("sid")
     if more is not None:

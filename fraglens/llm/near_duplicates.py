@@ -22,13 +22,12 @@ names, are not carried.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -63,12 +62,6 @@ def content_of(text: str) -> Column:
     return F.xxhash64(F.col(text).cast("string"))
 
 
-def _let_go(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete shuffle files and checkpoints that nothing refers to any more: it waits for the driver's garbage collection, which one with memory to spare puts off."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, content, sid) of all rows and (sid, root, least) of all sets."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), content_of(text_col).alias("content"))
@@ -96,7 +89,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     close = near_links(one.select("fp")).withColumnsRenamed({"a": "x", "b": "y"}).join(one.withColumnRenamed("fp", "x"), "x").join(one.select(F.col("fp").alias("y"), F.col("a").alias("b")), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = B.cut(alike.unionByName(close).distinct())
     del one, alike, close, some
-    _let_go(docs.sparkSession)
+    B.let_go(docs.sparkSession)
     root = minhash.components(table, SHINGLE, LEAST, more)
     roots = distinct.select("sid", "least").join(root.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "least")
     return table.select("doc_id", "content", "sid"), roots
