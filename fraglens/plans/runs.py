@@ -124,7 +124,7 @@ SELECT o AS l_orderkey, chimera, CASE WHEN chimera > {resolution.TRANS} THEN gre
   CASE WHEN chimera = 0 THEN CASE WHEN z % 2 = 0 THEN 2 ELSE 1 END END AS n_candidates, CASE WHEN chimera = 0 THEN z % 2 = 0 END AS ambiguous_strand, CASE WHEN chimera = 0 THEN CASE WHEN p2 IS NULL THEN 50 ELSE s2 + 50 - s1 END END AS frag_length, CASE WHEN p2 IS NULL OR o % 2 = 1 THEN 1 ELSE 3 END AS strand FROM c""")
 def resolved_fragments(spark, d):
     """Chimeras, candidates, their ambiguity of strand and the length on which they agree, as the run resolves them."""
-    got = resolution.resolve_all(mates(spark, d), genes(spark, d))
+    got = resolution.resolved_once(mates(spark, d), genes(spark, d), table(spark, d, "lineitem").count())
     whole = F.col("chimera") == resolution.NOT_CHIMERIC
     lengths = F.array_distinct(F.transform("candidates", lambda c: c.frag_length))
     strands = F.array_distinct(F.transform("candidates", lambda c: c.t_strand))
