@@ -34,8 +34,20 @@ SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 
 
-def words(text: str) -> Column:
-    return F.filter(F.split(F.col(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+#: White space that is not one space between two words; runs of it become one.
+UNEVEN = "[\\x20\\x09-\\x0D]{2,}|[\\x09-\\x0D]"
+#: Each three-word window of words with one space between them: found at its first word, which alone is passed over.
+WINDOW = "(?=([^ ]++ [^ ]++ [^ ]++))[^ ]++"
+
+
+def spaced_words(text: Column) -> Column:
+    """The words of a text with one space between them."""
+    return F.trim(F.regexp_replace(text, UNEVEN, " "))
+
+
+def n_spaced(words: Column) -> Column:
+    """How many words ``spaced_words`` has returned."""
+    return F.when(words == "", 0).otherwise(F.octet_length(words) - F.octet_length(F.replace(words, F.lit(" "), F.lit(""))) + 1)
 
 
 def repeated_words(w: str) -> Column:
@@ -61,32 +73,36 @@ def repeated_words(w: str) -> Column:
     """)
 
 
-def normalised_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), "[\\x20\\x09-\\x0D]+", " "))
-
-
 def base_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    t = F.col(text)
-    lines = F.filter(F.split(t, "\n"), lambda x: F.ltrim(F.translate(x, SPACES, "      ")) != "")
-    out = docs.withColumns({"w_": F.coalesce(words(text), F.array().cast("array<string>")), "l_": F.coalesce(lines, F.array().cast("array<string>"))})
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+
+    Functions over arrays of a row are interpreted, not compiled; only texts with fewer distinct windows than windows
+    go through those of ``repeated_words``.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    w = F.col("w_")
+    lines = F.filter(F.split(t, "\n"), lambda x: F.ltrim(x, F.lit(SPACES)) != "")
+    out = docs.withColumns({"w_": spaced_words(t), "l_": lines}).withColumn("n_words", n_spaced(w).cast("long"))
+    distinct = F.size(F.array_distinct(F.regexp_extract_all(w, F.lit(WINDOW), F.lit(1))))
     out = out.withColumns({
-        "n_words": F.size("w_").cast("long"),
-        "word_chars": zero(F.char_length(F.translate(t, SPACES, ""))),
-        "n_symbols": zero(F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))),
+        "word_chars": (F.char_length(w) - F.greatest(F.col("n_words") - 1, F.lit(0))).cast("long"),
+        "n_symbols": F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": (F.size("l_") - F.size(F.array_distinct("l_"))).cast("long"),
-        "n_repeat_words": repeated_words("w_").cast("long"),
+        "r_": F.when(distinct < F.col("n_words") - 2, F.split(w, " ")).otherwise(F.array().cast("array<string>")),
     })
-    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("w_", "l_")
+    out = out.withColumn("n_repeat_words", repeated_words("r_").cast("long"))
+    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("w_", "l_", "r_")
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(id, host, content, at, line, n): each line of each document with its normalised hash, its place and its words."""
-    split = F.expr("filter(split(text, '\n'), x -> trim(translate(x, ' \t\n\x0b\f\r', '      ')) <> '')")
-    lines = docs.select("id", "host", F.xxhash64("text").alias("content"), F.posexplode(split).alias("at", "raw"))
-    n = F.size(F.filter(F.split("raw", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
-    return lines.select("id", "host", "content", "at", F.xxhash64(normalised_line(F.col("raw"))).alias("line"), n.alias("n"))
+    """(id, host, content, at, line, n): each line of each document with its normalised hash, its place and its words.
+
+    Case and digits are folded once for the whole text; its line ends stay.
+    """
+    folded = F.regexp_replace(F.lower("text"), "[1-9]", "0")
+    lines = docs.select("id", "host", F.xxhash64("text").alias("content"), F.posexplode(F.split(folded, "\n")).alias("at", "raw"))
+    lines = lines.filter(F.ltrim("raw", F.lit(SPACES)) != "").withColumn("raw", spaced_words(F.col("raw")))
+    return lines.select("id", "host", "content", "at", F.xxhash64("raw").alias("line"), n_spaced(F.col("raw")).alias("n"))
 
 
 def words_in_common_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:

@@ -81,6 +81,18 @@ def test_quality_rules_on_long_texts_and_clashing_columns(spark):
     assert got == [(1, 300_000, 0, True), *[(2, 380_003, 80_006, True)] * 2]
 
 
+def test_quality_rules_are_compiled(spark):
+    """Lines are normalised without functions over arrays, which are interpreted; only texts that repeat a window are taken apart by them. Odd white space, folds and symbols."""
+    rows = [
+        (1, "\t a  b\tc \r\nA\x0b\x0cB  C\n \t\na b c", "h"), (2, "a b c a b c", "h"), (3, "\u039f\u0394\u039f\u03a3\n\u039f\u0394\u039f\u03a3 x1\n\u03bf\u03b4\u03bf\u03c2", "h"), (4, "\u0130 9\u00a08 \U0001f600 \u2003", "h"), (5, " ", "h"), (6, "#*$%&|<> && || x", None), (7, "one two", None),
+        (8, "a b b c a b b c", "h"), (9, "\u03bf\u03b4\u03bf\u03c2\nA 1\na 2", "h"), (10, "9\u00a01 x\n\u0130 0\u00a00 \U0001f600 \u2003", "h"), (11, "x " * 9, "h"), (12, None, None), (13, "a b c\n\n\na\tb c ", "h"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted((tuple(r) for r in Q.quality_rules(df, limit=1).collect()), key=str) == brute_quality(rows, 1)
+    lines = Q.line_rows(df.selectExpr("doc_id as id", "text", "source as host"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in lines and "translate" not in lines
+
+
 def test_urls_of_any_length_with_clashing_columns(spark):
     long = "http://net/" + "a/" * 200_000 + "login"
     df = spark.createDataFrame([(1, long, "x", "y"), (2, long[:-1], "x", "y")], "page_id long, url string, pattern string, host string").selectExpr("*", "'z' as verdict", "1 as token", "2 as low")
