@@ -94,7 +94,8 @@ def molecule_counters(spark, d):
 def genes(spark: SparkSession, d: str) -> DataFrame:
     """A gene of 500 bases for each part, 1,000 apart; one of even size has a second transcript on the other strand."""
     p = table(spark, d, "part")
-    start = (F.col("p_partkey") * 1000).cast("int")
+    # Places are long: of some two million parts and more the last ones lie beyond 2**31.
+    start = (F.col("p_partkey") * 1000).cast("long")
     both = p.withColumn("k", F.explode(F.when(F.col("p_size") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     return both.select(
         F.col("p_brand").alias("ref"), start.alias("start"), (start + 500).alias("end"), F.when(F.col("k") == 0, S.POS).otherwise(S.NEG).alias("strand"), F.concat_ws("_", "p_partkey", "k").alias("t_id"), F.array(F.struct(start.alias("start"), (start + 500).alias("end"))).alias("exons"),
@@ -111,7 +112,7 @@ def mates(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("l_linenumber")
     flag = F.when(k == 1, 99).when(F.col("l_orderkey") % 2 == 1, 147).otherwise(163)
     return x.select(
-        F.col("l_orderkey").cast("string").alias("qname"), flag.alias("flag"), F.col("p_brand").alias("ref"), (F.col("part") * 1000 + 10 + 100 * (k - 1) + F.col("l_quantity")).cast("int").alias("pos"), F.lit(60).alias("mapq"), F.lit("50M").alias("cigar"),
+        F.col("l_orderkey").cast("string").alias("qname"), flag.alias("flag"), F.col("p_brand").alias("ref"), (F.col("part") * 1000 + 10 + 100 * (k - 1) + F.col("l_quantity")).cast("long").alias("pos"), F.lit(60).alias("mapq"), F.lit("50M").alias("cigar"),
         F.lit("*").alias("mate_ref"), F.lit(-1).alias("mate_pos"), F.lit(0).alias("nm"), F.lit(1).alias("nh"), F.lit(-1).alias("hi"), F.lit(None).cast("string").alias("xs"), F.lit(None).cast("string").alias("ts"),
     )
 
