@@ -215,12 +215,11 @@ def transcript_sequences(spark, d):
     a, q, k = (F.col("l_suppkey") % 100).cast("int"), F.col("l_quantity").cast("int"), F.col("l_linenumber").cast("int")
     exon = lambda s, e: F.struct(s.alias("start"), e.alias("end"))
     t = table(spark, d, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", a, q, F.col("l_returnflag") == "R").alias("t_id"), F.col("l_partkey").cast("string").alias("ref"), a.alias("start"), (a + 3 * q + 10 + k).alias("end"), F.when(F.col("l_returnflag") == "R", S.NEG).otherwise(S.POS).alias("strand"),
-        F.array(exon(a, a + q), exon(a + q + 10 + k, a + 3 * q + 10 + k)).alias("exons"),
-    ).distinct()
-    both = sequences.transcript_sequences(t, chunks, True, 50).withColumnRenamed("sequence", "spliced").join(sequences.transcript_sequences(t, chunks, False, 50).withColumnRenamed("sequence", "span"), "t_id")
-    part = lambda i, kind: F.split("t_id", "-")[i].cast(kind)
-    return both.select(part(0, "long").alias("l_orderkey"), part(1, "int").alias("l_linenumber"), part(2, "long").alias("l_partkey"), "spliced", "span")
+        "l_orderkey", k.alias("l_linenumber"), "l_partkey", a.alias("a"), q.alias("q"), (F.col("l_returnflag") == "R").alias("minus"), F.col("l_partkey").cast("string").alias("ref"), a.alias("start"), (a + 3 * q + 10 + k).alias("end"),
+        F.when(F.col("l_returnflag") == "R", S.NEG).otherwise(S.POS).alias("strand"), F.array(exon(a, a + q), exon(a + q + 10 + k, a + 3 * q + 10 + k)).alias("exons"),
+    )
+    both = sequences.spliced_and_whole(t, chunks, ["l_orderkey", "l_linenumber", "l_partkey", "a", "q", "minus"], 50)
+    return both.select("l_orderkey", "l_linenumber", "l_partkey", "spliced", F.col("whole").alias("span"))
 
 
 # -- groups -----------------------------------------------------------------

@@ -12,6 +12,7 @@ from fraglens import cli
 from fraglens.operators import draws
 from fraglens.operators import sequences as Q
 from fraglens.operators import simulate as M
+from fraglens.plans import catalogue
 from tests.test_quantify import GENES
 
 
@@ -226,3 +227,14 @@ def test_chunks_are_not_broadcast(spark):
     got = Q.transcript_sequences(t, Q.chunked(runs, 5), True, 5)
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     assert [r.sequence for r in got.collect()] == ["CGGTA"]
+
+
+def test_both_sequences_from_one_join(spark):
+    """Chunks are met once for both sequences; equal rows are one, exons and spans beyond the reference are cut or left out."""
+    runs = spark.createDataFrame([("a", 0, "ACGTTGCAAC"), ("a", 10, "GGTCA"), ("b", 0, "TTT")], "ref string, start long, sequence string")
+    rows = [(1, "a", 2, 13, 1, [(8, 13), (2, 4)]), (1, "a", 2, 13, 1, [(8, 13), (2, 4)]), (2, "a", 2, 13, 2, [(2, 4), (8, 13)]), (3, "a", 12, 20, 1, [(12, 14), (14, 20)]), (4, "b", 3, 9, 1, [(3, 9)]), (5, "a", 0, 5, 2, [(0, 5)]), (6, "b", 1, 9, 1, [(5, 9)])]
+    t = spark.createDataFrame(rows, "k int, ref string, start int, end int, strand int, exons array<struct<start:int,end:int>>")
+    got = Q.spliced_and_whole(t, Q.chunked(runs, 4), ["k"], 4)
+    assert sorted(map(tuple, got.collect())) == [(1, "GTACGGT", "GTTGCAACGGT"), (2, "ACCGTAC", "ACCGTTGCAAC"), (3, "TCA", "TCA"), (5, "AACGT", "AACGT")]
+    query = catalogue.queries()["transcript_sequences"](spark, "/root/testdata/sf0.001")
+    assert query._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
