@@ -164,26 +164,42 @@ def transcript_sequences(transcripts: DataFrame, chunks: DataFrame, spliced: boo
     return got.select("t_id", F.when(F.col("strand") == S.NEG, S.reverse_complement("sequence")).otherwise(F.col("sequence")).alias("sequence"))
 
 
-def spliced_and_whole(transcripts: DataFrame, chunks: DataFrame, keys: list[str], size: int = CHUNK) -> DataFrame:
+def spliced_and_whole(transcripts: DataFrame, chunks: DataFrame, keys: list[str], size: int = CHUNK, reach: int = 0) -> DataFrame:
     """(keys, spliced, whole): both sequences along each transcript (keys, ref, start, end, strand, exons within the span), equal rows once.
 
-    The span alone meets the chunks, and the exons are cut out of it where it is put together, so that nothing is exchanged
-    twice. What belongs to the transcript goes with its first chunk only. Where the reference has no base of a
-    transcript's exons, there is no row.
+    The span alone meets the chunks, and the exons are cut out of it. A span that lies within its first chunk and the
+    ``reach`` next ones meets one row that has all of these, so that its bases are never exchanged; longer ones are put
+    together of pieces. Where the reference has no base of a transcript's exons, there is no row.
     """
-    chunk, first = F.col("chunk"), F.floor(F.col("start") / size)
     inside = transcripts.filter((F.col("end") > F.col("start")) & (F.col("start") >= 0))
-    each = inside.withColumn("chunk", F.explode(F.sequence(first, F.floor((F.col("end") - 1) / size))))
+    far = F.floor((F.col("end") - 1) / size) - F.floor(F.col("start") / size) > reach
+    both = _wholes_of_one(inside.filter(~far), chunks, keys, size, reach).unionByName(_wholes_of_pieces(inside.filter(far), chunks, keys, size))
+    cut_out = F.transform(F.array_sort("exons"), lambda e: F.substring("whole", (e.start - F.col("start") + 1).cast("int"), (e.end - e.start).cast("int")))
+    both = both.select(*keys, "strand", F.array_join(cut_out, "").alias("spliced"), "whole").filter("spliced <> ''")
+    along = lambda c: F.when(F.col("strand") == S.NEG, S.reverse_complement(c)).otherwise(F.col(c)).alias(c)
+    return both.select(*keys, along("spliced"), along("whole"))
+
+
+def _wholes_of_one(spans: DataFrame, chunks: DataFrame, keys: list[str], size: int, reach: int) -> DataFrame:
+    """(keys, start, strand, exons, whole) of spans that lie within ``reach`` chunks beyond their first."""
+    long = chunks.select("ref", F.explode(F.sequence(F.greatest(F.col("chunk") - reach, F.lit(0)), F.col("chunk"))).alias("tile"), F.struct("chunk", "sequence").alias("p"))
+    tiles = long.groupBy("ref", "tile").agg(F.array_sort(F.collect_list("p")).alias("ps")).select("ref", "tile", F.array_join(F.transform("ps", lambda p: p.sequence), "").alias("sequence"))
+    # Equal rows have equal places, so that they are made one where they meet the tile, without an exchange of their own.
+    once = spans.select(*keys, "ref", F.floor(F.col("start") / size).alias("tile"), "start", "end", "strand", "exons").repartition("ref", "tile").distinct()
+    whole = F.substring("sequence", (F.col("start") - F.col("tile") * size + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    return once.join(tiles.hint("merge"), ["ref", "tile"]).select(*keys, "start", "strand", "exons", whole.alias("whole"))
+
+
+def _wholes_of_pieces(spans: DataFrame, chunks: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """(keys, start, strand, exons, whole) of spans of any length; what belongs to the transcript goes with its first chunk only."""
+    chunk, first = F.col("chunk"), F.floor(F.col("start") / size)
+    each = spans.withColumn("chunk", F.explode(F.sequence(first, F.floor((F.col("end") - 1) / size))))
     low = F.greatest(F.col("start") - chunk * size, F.lit(0))
     each = each.select(*keys, "ref", "chunk", low.cast("int").alias("_low"), (F.least(F.col("end") - chunk * size, F.lit(size)) - low).cast("int").alias("_n"), F.when(chunk == first, F.struct("start", "strand", "exons")).alias("_own"))
     piece = F.struct(chunk.alias("chunk"), F.substring("sequence", F.col("_low") + 1, F.col("_n")).alias("piece"))
     got = each.join(chunks.hint("merge"), ["ref", "chunk"]).select(*keys, piece.alias("_p"), "_own")
     got = got.groupBy(*keys).agg(F.array_sort(F.collect_set("_p")).alias("_ps"), F.first("_own", ignorenulls=True).alias("_own")).filter("_own IS NOT NULL")
-    whole = got.select(*keys, F.array_join(F.transform("_ps", lambda p: p.piece), "").alias("whole"), "_own.*")
-    cut_out = F.transform(F.array_sort("exons"), lambda e: F.substring("whole", (e.start - F.col("start") + 1).cast("int"), (e.end - e.start).cast("int")))
-    both = whole.select(*keys, "strand", F.array_join(cut_out, "").alias("spliced"), "whole").filter("spliced <> ''")
-    along = lambda c: F.when(F.col("strand") == S.NEG, S.reverse_complement(c)).otherwise(F.col(c)).alias(c)
-    return both.select(*keys, along("spliced"), along("whole"))
+    return got.select(*keys, "_own.*", F.array_join(F.transform("_ps", lambda p: p.piece), "").alias("whole"))
 
 
 # -- reads ------------------------------------------------------------------

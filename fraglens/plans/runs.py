@@ -218,7 +218,7 @@ def transcript_sequences(spark, d):
         "l_orderkey", k.alias("l_linenumber"), "l_partkey", a.alias("a"), q.alias("q"), (F.col("l_returnflag") == "R").alias("minus"), F.col("l_partkey").cast("string").alias("ref"), a.alias("start"), (a + 3 * q + 10 + k).alias("end"),
         F.when(F.col("l_returnflag") == "R", S.NEG).otherwise(S.POS).alias("strand"), F.array(exon(a, a + q), exon(a + q + 10 + k, a + 3 * q + 10 + k)).alias("exons"),
     )
-    both = sequences.spliced_and_whole(t, chunks, ["l_orderkey", "l_linenumber", "l_partkey", "a", "q", "minus"], 50)
+    both = sequences.spliced_and_whole(t, chunks, ["l_orderkey", "l_linenumber", "l_partkey", "a", "q", "minus"], 50, 4)
     return both.select("l_orderkey", "l_linenumber", "l_partkey", "spliced", F.col("whole").alias("span"))
 
 

@@ -229,12 +229,18 @@ def test_chunks_are_not_broadcast(spark):
     assert [r.sequence for r in got.collect()] == ["CGGTA"]
 
 
-def test_both_sequences_from_one_join(spark):
-    """Chunks are met once for both sequences; equal rows are one, exons and spans beyond the reference are cut or left out."""
+@pytest.mark.parametrize("reach", [0, 1, 9])
+def test_both_sequences_from_one_join(spark, reach):
+    """A span meets chunks once for both sequences, whatever the reach of a row of chunks; equal rows are one, exons and spans beyond the reference are cut or left out."""
     runs = spark.createDataFrame([("a", 0, "ACGTTGCAAC"), ("a", 10, "GGTCA"), ("b", 0, "TTT")], "ref string, start long, sequence string")
     rows = [(1, "a", 2, 13, 1, [(8, 13), (2, 4)]), (1, "a", 2, 13, 1, [(8, 13), (2, 4)]), (2, "a", 2, 13, 2, [(2, 4), (8, 13)]), (3, "a", 12, 20, 1, [(12, 14), (14, 20)]), (4, "b", 3, 9, 1, [(3, 9)]), (5, "a", 0, 5, 2, [(0, 5)]), (6, "b", 1, 9, 1, [(5, 9)])]
     t = spark.createDataFrame(rows, "k int, ref string, start int, end int, strand int, exons array<struct<start:int,end:int>>")
-    got = Q.spliced_and_whole(t, Q.chunked(runs, 4), ["k"], 4)
+    got = Q.spliced_and_whole(t, Q.chunked(runs, 4), ["k"], 4, reach)
     assert sorted(map(tuple, got.collect())) == [(1, "GTACGGT", "GTTGCAACGGT"), (2, "ACCGTAC", "ACCGTTGCAAC"), (3, "TCA", "TCA"), (5, "AACGT", "AACGT")]
+
+
+def test_near_spans_exchange_no_bases(spark):
+    """Sequences are not grouped by transcript but for spans beyond the reach; both together are two joins."""
     query = catalogue.queries()["transcript_sequences"](spark, "/root/testdata/sf0.001")
-    assert query._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    plan = query._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and plan.count("collect_set(") == 1 and "RepartitionByExpression [ref" in plan
