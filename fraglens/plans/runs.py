@@ -210,7 +210,9 @@ s AS (SELECT *, substr(g, a + 1, q) || substr(g, a + q + 11 + k, 2 * q) AS splic
 SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN minus THEN translate(reverse(spliced), 'ACGT', 'TGCA') ELSE spliced END AS spliced, CASE WHEN minus THEN translate(reverse(span), 'ACGT', 'TGCA') ELSE span END AS span FROM s""")
 def transcript_sequences(spark, d):
     """Spliced and unspliced sequences of transcripts of two exons, cut out of references in chunks; parts are references of 320 bases."""
-    runs = table(spark, d, "part").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(9)))).select(F.col("p_partkey").cast("string").alias("ref"), (F.col("i") * 32).cast("long").alias("start"), F.translate(F.md5(F.concat_ws("-", "p_partkey", "i").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT").alias("sequence"))
+    # Dealt out first, or else the few bytes of the keys are one task that makes all bases.
+    parts = table(spark, d, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    runs = parts.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(9)))).select(F.col("p_partkey").cast("string").alias("ref"), (F.col("i") * 32).cast("long").alias("start"), F.translate(F.md5(F.concat_ws("-", "p_partkey", "i").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT").alias("sequence"))
     chunks = sequences.chunked(runs, 50)
     a, q, k = (F.col("l_suppkey") % 100).cast("int"), F.col("l_quantity").cast("int"), F.col("l_linenumber").cast("int")
     exon = lambda s, e: F.struct(s.alias("start"), e.alias("end"))
